@@ -6,20 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, substring_dedup, suffix_dedup
+from . import exact_dedup, near_dedup, packing, substring_dedup, suffix_dedup, token_counts
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), 2048)
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_strings(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_sequences(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), 1024)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.earlier_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -29,7 +43,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_suffix_array_dedup, op8_substring_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_suffix_array_dedup, op6_packing, op8_substring_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
