@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def texts(docs: DataFrame) -> DataFrame:
