@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, tiff, token_counts, url_filter
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), 1024)
 
 
+def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.stored_documents(documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.earlier_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -61,6 +65,7 @@ QUERIES = (
     op4_quality_classifier,
     op5_source_mixing,
     op6_packing,
+    op7_tiff_media,
     op8_substring_dedup,
     op9_url_filter,
     op10_exact_dedup,
