@@ -19,20 +19,23 @@ from pyspark.sql import functions as F
 
 from .arrays import portions, words
 from .common import Tables, arrow_rows, texts
-from .windows import covered, pack, shared_phrases, spelt_windows, with_stretches, word_kind
+from .windows import HOT, covered, pack, settled_phrases, shared_phrases, spelt_windows, with_stretches, word_kind
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, end: long>>"
 
 
-def earlier_factors(docs: DataFrame, tables: Tables, window: int = 20) -> DataFrame:
+def earlier_factors(docs: DataFrame, tables: Tables, window: int = 20, hot: int = HOT) -> DataFrame:
     """(doc_id, stretch): runs of starts of windows whose words also start earlier, packed."""
     kind = word_kind(window)
-    shared = tables.write(shared_phrases(docs, kind), "phrases")
-    later = shared.where("NOT first").select("doc_id", pack(F.col("start"), F.col("n")).alias("stretch"))
-    spelt = tables.write(spelt_windows(docs, shared, kind), "windows")
-    firsts = spelt.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    again = spelt.join(firsts, "hash").where("NOT (doc_id = f.doc_id AND pos = f.pos)")
-    return later.union(again.select("doc_id", pack(F.col("pos"), F.lit(1)).alias("stretch")))
+    shared = tables.write(shared_phrases(docs, kind, hot), "phrases")
+    found = shared.where("NOT first").select("doc_id", pack(F.col("start"), F.col("n")).alias("stretch"))
+    found = found.union(settled_phrases(docs, shared.where("spell AND NOT hot"), kind, True))
+    if shared.where("hot").take(1):
+        spelt = tables.write(spelt_windows(docs, shared.where("spell AND hot"), kind), "windows")
+        firsts = spelt.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        again = spelt.join(firsts, "hash").where("NOT (doc_id = f.doc_id AND pos = f.pos)")
+        found = found.union(again.select("doc_id", pack(F.col("pos"), F.lit(1)).alias("stretch")))
+    return tables.write(found, "stretches")
 
 
 def _apply(window: int):
@@ -61,7 +64,7 @@ def _apply(window: int):
     return run
 
 
-def earlier_passages(docs: DataFrame, window: int = 20, tables: Tables | None = None) -> DataFrame:
+def earlier_passages(docs: DataFrame, window: int = 20, hot: int = HOT, tables: Tables | None = None) -> DataFrame:
     """For every row of docs(doc_id, text, ...): n_words, n_removed, kept_sha256 and the removed factors (word positions).
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; a word is removed if a run of window words that covers it also starts earlier:
@@ -73,4 +76,4 @@ def earlier_passages(docs: DataFrame, window: int = 20, tables: Tables | None =
     arrow_rows(spark)
     tables = tables or Tables(spark, "substring")
     docs = texts(docs)
-    return with_stretches(docs, earlier_factors(docs, tables, window)).mapInArrow(_apply(window), RESULT)
+    return with_stretches(docs, earlier_factors(docs, tables, window, hot)).mapInArrow(_apply(window), RESULT)

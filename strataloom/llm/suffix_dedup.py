@@ -18,20 +18,22 @@ from pyspark.sql import functions as F
 
 from .arrays import portions
 from .common import Tables, arrow_rows, texts
-from .windows import byte_kind, covered, pack, shared_phrases, spelt_windows, with_stretches
+from .windows import HOT, byte_kind, covered, pack, settled_phrases, shared_phrases, spelt_windows, with_stretches
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
 
-def repeated_stretches(docs: DataFrame, tables: Tables, window: int = 200) -> DataFrame:
+def repeated_stretches(docs: DataFrame, tables: Tables, window: int = 200, hot: int = HOT) -> DataFrame:
     """(doc_id, stretch): runs of starts of windows that also start elsewhere, packed."""
     kind = byte_kind(window)
-    shared = tables.write(shared_phrases(docs, kind), "phrases")
-    whole = shared.where("copies > 1").select("doc_id", pack(F.col("start"), F.col("n")).alias("stretch"))
-    spelt = tables.write(spelt_windows(docs, shared, kind), "windows")
-    twice = spelt.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash")
-    single = spelt.join(twice, "hash", "left_semi").select("doc_id", pack(F.col("pos"), F.lit(1)).alias("stretch"))
-    return whole.union(single)
+    shared = tables.write(shared_phrases(docs, kind, hot), "phrases")
+    found = shared.where("copies > 1").select("doc_id", pack(F.col("start"), F.col("n")).alias("stretch"))
+    found = found.union(settled_phrases(docs, shared.where("spell AND NOT hot"), kind, False))
+    if shared.where("hot").take(1):
+        spelt = tables.write(spelt_windows(docs, shared.where("spell AND hot"), kind), "windows")
+        twice = spelt.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash")
+        found = found.union(spelt.join(twice, "hash", "left_semi").select("doc_id", pack(F.col("pos"), F.lit(1)).alias("stretch")))
+    return tables.write(found, "stretches")
 
 
 def _apply(window: int):
@@ -52,7 +54,7 @@ def _apply(window: int):
     return run
 
 
-def repeated_strings(docs: DataFrame, window: int = 200, tables: Tables | None = None) -> DataFrame:
+def repeated_strings(docs: DataFrame, window: int = 200, hot: int = HOT, tables: Tables | None = None) -> DataFrame:
     """For every row of docs(doc_id, text, ...): n_bytes, n_removed, n_spans, kept_sha256 and the removed spans.
 
     A byte is removed if a string of window bytes that covers it also starts at another place of any document, the same one
@@ -64,4 +66,4 @@ def repeated_strings(docs: DataFrame, window: int = 200, tables: Tables | None =
     arrow_rows(spark)
     tables = tables or Tables(spark, "suffix")
     docs = texts(docs)
-    return with_stretches(docs, repeated_stretches(docs, tables, window)).mapInArrow(_apply(window), RESULT)
+    return with_stretches(docs, repeated_stretches(docs, tables, window, hot)).mapInArrow(_apply(window), RESULT)

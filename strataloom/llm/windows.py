@@ -5,7 +5,7 @@ a phrase; equal windows have the same trigger wherever they stand, and so lie in
 class as a fingerprint of 8 bytes, so text that repeats as a whole is settled without its windows; only phrases that share a
 class with different ones are spelt out, and only one of each content.
 
-Nothing is gathered per class: hot classes are windows over a sorted, spilling shuffle, and hot windows are joins.
+Classes of a bounded number of different phrases are settled in one task; the windows of larger ones are dealt out by hash.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import BYTES, SEGMENT, U, WORDS, _TABLE, Powers, Rolling, mix, portions, sliding_min, words
+from .arrays import BYTES, SEGMENT, U, WORDS, _TABLE, Powers, Rolling, byte_hashes, column_bytes, mix, portions, sliding_min, words
 
+#: A class with more different phrases than this is never gathered in one task; its windows are dealt out one by one.
+HOT = 20_000
 PHRASES = "key long, fp long, doc_id long, start long, n int, again boolean"
 
 
@@ -112,17 +114,17 @@ def phrase_rows(docs: DataFrame, kind: Kind) -> DataFrame:
     return docs.mapInArrow(run, PHRASES)
 
 
-def shared_phrases(docs: DataFrame, kind: Kind) -> DataFrame:
-    """The phrases whose class has another one: doc_id, start, n, copies of equal phrases, whether this is the first of them
-    in corpus order, and whether its windows must be spelt out."""
+def shared_phrases(docs: DataFrame, kind: Kind, hot: int = HOT) -> DataFrame:
+    """The phrases whose class has another one: key, doc_id, start, n, copies of equal phrases, whether this is the first of
+    them in corpus order, whether its windows must be spelt out, and whether its class is too large for one task."""
     by_class = Window.partitionBy("key")
     by_text = Window.partitionBy("key", "fp").orderBy("fp", "doc_id", "start")
     whole = Window.partitionBy("key", "fp").orderBy("fp", "doc_id", "start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = phrase_rows(docs, kind)
-    rows = rows.withColumns({"copies": F.count(F.lit(1)).over(whole), "nth": F.row_number().over(by_text)})
-    rows = rows.withColumns({"total": F.count(F.lit(1)).over(by_class), "lo": F.min("fp").over(by_class), "hi": F.max("fp").over(by_class)})
+    rows = rows.withColumns({"copies": F.count(F.lit(1)).over(whole), "first": F.row_number().over(by_text) == 1})
+    rows = rows.withColumns({"total": F.count(F.lit(1)).over(by_class), "texts": F.count(F.when(F.col("first"), 1)).over(by_class)})
     rows = rows.where("total > 1 OR again")
-    return rows.select("doc_id", "start", "n", "copies", (F.col("nth") == 1).alias("first"), (F.col("lo").__ne__(F.col("hi")) | F.col("again")).alias("spell"))
+    return rows.select("key", "doc_id", "start", "n", "copies", "first", (F.col("first") & ((F.col("texts") > 1) | F.col("again"))).alias("spell"), (F.col("texts") > hot).alias("hot"))
 
 
 def pack(start, n):
@@ -134,30 +136,119 @@ def unpack(stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return stretches >> 24, stretches & ((1 << 24) - 1)
 
 
-def spelt_windows(docs: DataFrame, shared: DataFrame, kind: Kind) -> DataFrame:
-    """(hash, doc_id, pos) of each window of the first of each phrase that is to be spelt out."""
-    todo = shared.where("first AND spell").groupBy("doc_id").agg(F.collect_list(pack(F.col("start"), F.col("n"))).alias("todo"))
+def _spell(docs: DataFrame, todo: DataFrame, kind: Kind, emit, schema: str) -> DataFrame:
+    """Rows of emit(values, raw, starts, phrases) for the phrases of todo(doc_id, key, start, n), read from the texts anew."""
+    by_doc = todo.groupBy("doc_id").agg(F.collect_list(F.struct("key", pack(F.col("start"), F.col("n")).alias("at"))).alias("todo"))
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in portions(batch):
                 values, bounds = kind.values(raw, at)
                 ids = part.column(0).to_numpy()
-                for i, todo in enumerate(part.column(2)):
-                    vals = values[bounds[i] : bounds[i + 1]]
-                    start, n = unpack(todo.values.to_numpy())
-                    for j in range(0, len(start), 512):
-                        s, m = start[j : j + 512], n[j : j + 512]
-                        pos = np.repeat(s - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
-                        lo, hi = pos.min(), pos.max() + kind.window
-                        roll = Rolling(vals[lo:hi], kind.powers) if j == 0 or hi - lo < len(vals) else roll
-                        base = lo if len(roll.sums) == hi - lo + 1 else 0
-                        got = roll.ranges(pos - base, pos - base + kind.window)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(got.view(np.int64)), pa.array(np.full(len(pos), ids[i])), pa.array(pos)], names=["hash", "doc_id", "pos"]
-                        )
-
-    return docs.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(run, "hash long, doc_id long, pos long")
+                for i, row in enumerate(part.column(2)):
+                    key, packed = (row.values.field(k).to_numpy() for k in (0, 1))
+                    start, n = unpack(packed)
+                    order = np.argsort(start)
+                    mine = values[bounds[i] : bounds[i + 1]]
+                    j = 0
+                    while j < len(order):  # phrases that lie within a stretch of bounded length
+                        lo = start[order[j]]
+                        k = j + 1 + int(np.searchsorted(start[order[j + 1 :]], lo + SEGMENT))
+                        k = min(k, j + 4096)
+                        s, m = start[order[j:k]], n[order[j:k]]
+                        hi = int((s + m).max()) + kind.window - 1
+                        yield pa.RecordBatch.from_arrays(emit(int(ids[i]), key[order[j:k]], s, m, mine[lo:hi], raw[at[i] : at[i + 1]], int(lo)), names=names)
+                        j = k
+
+    return docs.join(by_doc, "doc_id").select("doc_id", "text", "todo").mapInArrow(run, schema)
+
+
+def _positions(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+
+
+def spelt_windows(docs: DataFrame, todo: DataFrame, kind: Kind) -> DataFrame:
+    """(hash, doc_id, pos) of each window of the phrases of todo."""
+
+    def emit(doc, key, start, n, values, raw, base):
+        pos = _positions(start, n)
+        got = Rolling(values, kind.powers).ranges(pos - base, pos - base + kind.window)
+        return [pa.array(got.view(np.int64)), pa.array(np.full(len(pos), doc)), pa.array(pos)]
+
+    return _spell(docs, todo, kind, emit, "hash long, doc_id long, pos long")
+
+
+def settled_phrases(docs: DataFrame, todo: DataFrame, kind: Kind, keep_first: bool) -> DataFrame:
+    """(doc_id, stretch): the repeated windows of the phrases of todo, whose classes all fit in one task.
+
+    A phrase travels as its bytes, or as the hashes of its windows where those are fewer. keep_first: the first of equal
+    windows in corpus order is not repeated.
+    """
+    spelt = kind.powers is BYTES
+
+    def emit(doc, key, start, n, values, raw, base):
+        if spelt:
+            content = [raw[a : a + m + kind.window - 1].tobytes() for a, m in zip(start.tolist(), n.tolist(), strict=True)]
+        else:
+            pos = _positions(start, n)
+            got = Rolling(values, kind.powers).ranges(pos - base, pos - base + kind.window)
+            content = [x.tobytes() for x in np.split(got, np.cumsum(n)[:-1])]
+        return [pa.array(key), pa.array(np.full(len(start), doc)), pa.array(start), pa.array(n, pa.int64()), pa.array(content, pa.binary())]
+
+    def hashes(rows: pa.Table, n: np.ndarray) -> np.ndarray:
+        data, at = column_bytes(rows.column("content").combine_chunks())
+        if not spelt:
+            return data.view(np.uint64) if data.ctypes.data % 8 == 0 else np.frombuffer(data.tobytes(), np.uint64)
+        pos = _positions(at[:-1], n)
+        return byte_hashes(data).ranges(pos, pos + kind.window)
+
+    def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        doc, start, n = (rows.column(c).to_numpy() for c in ("doc_id", "start", "n"))
+        got = hashes(rows, n)
+        row = np.repeat(np.arange(len(n)), n)
+        pos = _positions(start, n)
+        order = np.lexsort((pos, doc[row], got)) if keep_first else np.argsort(got, kind="stable")
+        h = got[order]
+        same = h[1:] == h[:-1]
+        again = np.zeros(len(h), dtype=bool)
+        again[order[1:]] = same
+        if not keep_first:
+            again[order[:-1]] |= same
+        # runs of repeated windows of a phrase
+        edge = again.copy()
+        edge[1:] &= ~again[:-1] | (row[1:] != row[:-1])
+        head = np.flatnonzero(edge)
+        edge = again.copy()
+        edge[:-1] &= ~again[1:] | (row[1:] != row[:-1])
+        tail = np.flatnonzero(edge)
+        if len(head):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row[head]]), pa.array((pos[head] << 24) | (tail - head + 1))], names=["doc_id", "stretch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        weight, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            new = np.flatnonzero(np.concatenate(([key[0] != last], key[1:] != key[:-1])))
+            if weight > SEGMENT and len(new):
+                at = int(new[0])
+                if at:
+                    held.append(batch.slice(0, at))
+                if held:
+                    yield from close(held)
+                held, weight, batch = [], 0, batch.slice(at)
+            held.append(batch)
+            weight += int(batch.column(3).to_numpy().sum())
+            last = key[-1]
+        if held:
+            yield from close(held)
+
+    rows = _spell(docs, todo, kind, emit, "key long, doc_id long, start long, n long, content binary")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, stretch long")
 
 
 def covered(stretches: np.ndarray, window: int, length: int) -> np.ndarray:
