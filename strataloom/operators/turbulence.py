@@ -1,0 +1,80 @@
+"""Turbulence of an ordered sequence of categories: sliding scores, hot zones, tiers, redundant code."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.vectors import sequence_ratio
+
+KEYWORDS = (
+    ("Daten", ("sql", "query", "select", "insert", "model", "table")),
+    ("UI", ("html", "css", "render", "view", "button")),
+    ("KI", ("model", "embedding", "prompt", "llm", "token")),
+    ("Config", ("config", "env", "setting")),
+    ("Sicherheit", ("auth", "password", "secret", "token", "permission")),
+    ("Logik", ()),
+)
+
+
+def heuristic_category(code: Column, keywords=KEYWORDS) -> Column:
+    """The category with most keywords in a text; Logik has 1 from the start, ties go to the first in the list."""
+    low = F.lower(code)
+    scores = []
+    for i, (name, words) in enumerate(keywords):
+        hits = F.lit(1 if name == "Logik" else 0)
+        for w in words:
+            hits = hits + F.when(low.contains(w), 2 if len(w) > 4 else 1).otherwise(0)
+        # a lone hit of Config ties with Logik's base and loses
+        hits = F.when(hits == 1, F.lit(0.5)).otherwise(hits.cast("double")) if name == "Config" else hits.cast("double")
+        scores.append(F.struct(hits.alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("name")))
+    return F.array_max(F.array(*scores))["name"]
+
+
+def turbulence(rows: DataFrame, file: str = "file", order: str = "pos", category: str = "category", window: int = 5) -> DataFrame:
+    """rows with score: in the frame around each, changes by places between, times distinct categories by six."""
+    half = window // 2
+    frame = Window.partitionBy(file).orderBy(order).rowsBetween(-half, half)
+    seen = F.collect_list(category).over(frame)
+    pairs = F.arrays_zip(F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0))).alias("a"), F.slice(seen, 2, F.size(seen)).alias("b"))
+    changes = F.size(F.filter(pairs, lambda p: p["a"] != p["b"]))
+    score = changes / F.greatest(F.lit(1), F.size(seen) - 1) * (F.size(F.array_distinct(seen)) / 6.0)
+    alone = F.count(F.lit(1)).over(Window.partitionBy(file)) < 2
+    return rows.withColumn("score", F.when(alone, F.lit(0.0)).otherwise(score))
+
+
+def file_scores(scored: DataFrame, file: str = "file") -> DataFrame:
+    """(file, n, turbulence, tier): the mean score; fewer than three chunks are stable."""
+    out = scored.groupBy(file).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 3).alias("turbulence"))
+    t = F.col("turbulence")
+    return out.withColumn("tier", F.when(F.col("n") < 3, "stable").when(t < 0.2, "skip").when(t < 0.5, "light").otherwise("deep"))
+
+
+def hot_zones(scored: DataFrame, file: str = "file", order: str = "pos", least: float = 0.5) -> DataFrame:
+    """Maximal runs of scores above least: start, end, peak_score of the last five scores up to the run's end, zone_max."""
+    w = Window.partitionBy(file).orderBy(order)
+    rows = scored.withColumns({"_hot": F.col("score") > least, "_peak": F.max("score").over(w.rowsBetween(-4, 0))})
+    rows = rows.withColumn("_new", F.when(F.col("_hot") & ~F.coalesce(F.lag("_hot").over(w), F.lit(False)), 1).otherwise(0))
+    rows = rows.withColumn("zone", F.sum("_new").over(w)).where("_hot")
+    return rows.groupBy(file, "zone").agg(
+        F.min(order).alias("start"), F.max(order).alias("end"), F.round(F.max_by("_peak", order), 3).alias("peak_score"), F.round(F.max("score"), 3).alias("zone_max")
+    )
+
+
+def severity(score: Column) -> Column:
+    return F.when(score > 0.7, "high").otherwise("medium")
+
+
+def redundancies(chunks: DataFrame, least: float = 0.7) -> DataFrame:
+    """Pairs of like functions of two files, from chunks(ord, file, name, code): 0.35 name + 0.65 code similarity, by difflib.
+
+    Names are blocked by their q-grams: two names with a ratio of least share three letters in a row unless they are very
+    short, and those meet by length."""
+    low = F.lower("name")
+    grams = F.when(F.length("name") < 6, F.array(F.lit("short"))).otherwise(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring(low, i, F.lit(2))))
+    keyed = chunks.withColumn("gram", F.explode(F.array_distinct(grams)))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    pairs = a.join(b, "gram").where("a.ord < b.ord AND a.file <> b.file").select("a.ord", F.col("b.ord").alias("other"), F.col("a.name").alias("n1"), F.col("b.name").alias("n2"), F.col("a.code").alias("c1"), F.col("b.code").alias("c2")).distinct()
+    named = pairs.withColumn("name_score", sequence_ratio("n1", "n2")).where(F.col("name_score") >= least)
+    code = sequence_ratio(F.substring("c1", 1, 600), F.substring("c2", 1, 600))
+    return named.select("ord", "other", F.round(0.35 * F.col("name_score") + 0.65 * code, 3).alias("score"))
