@@ -120,10 +120,10 @@ def shared_phrases(docs: DataFrame, kind: Kind, hot: int = HOT) -> DataFrame:
     by_class = Window.partitionBy("key")
     by_text = Window.partitionBy("key", "fp").orderBy("fp", "doc_id", "start")
     whole = Window.partitionBy("key", "fp").orderBy("fp", "doc_id", "start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = phrase_rows(docs, kind)
+    # by class first: one exchange serves all windows, and most phrases, alone in their class, are gone before the second sort
+    rows = phrase_rows(docs, kind).withColumn("total", F.count(F.lit(1)).over(by_class)).where("total > 1 OR again")
     rows = rows.withColumns({"copies": F.count(F.lit(1)).over(whole), "first": F.row_number().over(by_text) == 1})
-    rows = rows.withColumns({"total": F.count(F.lit(1)).over(by_class), "texts": F.count(F.when(F.col("first"), 1)).over(by_class)})
-    rows = rows.where("total > 1 OR again")
+    rows = rows.withColumn("texts", F.count(F.when(F.col("first"), 1)).over(by_class))
     return rows.select("key", "doc_id", "start", "n", "copies", "first", (F.col("first") & ((F.col("texts") > 1) | F.col("again"))).alias("spell"), (F.col("texts") > hot).alias("hot"))
 
 
