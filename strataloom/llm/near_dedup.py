@@ -3,11 +3,13 @@
 Many universal hash minima per document are cut into bands; documents that share a band are candidates, their signatures
 prune them, whole shingle sets decide. Components come from alternating large-star and small-star.
 
-No stage emits the pairs of a group. (1) Equal shingle sets become one representative. (2) Each representative is compared
-with one pivot, the smallest id of the buckets it shares most of. The verified links give components, into which a group of
+No stage emits the pairs of a group. (1) Equal shingle sets become one representative. (2) In a few rounds each representative
+is compared with one pivot: of the pivots of its buckets that are in another component than its own, the one it shares most
+buckets with; a bucket's pivot is from its largest component. The verified links give components, into which a group of
 thousands of copies collapses. (3) Only buckets that still hold two components or more are looked at again, in blocks of
-bounded size, by signature; what comes out are (document, other component) pairs. (4) Such a document goes to all blocks of
-the other component, and whole sets are compared there, so that no link between components is lost; one link each is kept.
+bounded size, by signature; what comes out are (document, other component) pairs, each pair of documents in the first band
+only that they share. (4) Such a document goes to all blocks of the other component, and whole sets are compared there, so
+that no link between components is lost; one link each is kept.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ BANDS, ROWS = 40, 5
 #: A pair below this share of equal minima is not compared in full; at 200 minima, 0.8 lies five deviations above it.
 LEAST_ESTIMATE = 0.66
 BUCKET_BLOCK, SET_BLOCK = 512, 256
+PIVOT_ROUNDS = 2
 NUM, DEN = 80, 100
 
 _rng = np.random.default_rng(7)
@@ -58,6 +61,14 @@ def minima(items: np.ndarray) -> np.ndarray:
     return (least >> U(32)).astype(np.uint32)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each band of signatures (documents x minima), one row a document."""
+    keys = np.repeat(_BAND_SALT[None, :], len(sig), axis=0)
+    for row in sig.reshape(-1, BANDS, ROWS).transpose(2, 0, 1):
+        keys = mix(keys * U(0xFF51AFD7ED558CCD) + row)
+    return keys.view(np.int64)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, raw, at in portions(batch):
@@ -66,12 +77,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(len(items))
                 fp.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
                 if len(items):
-                    low = minima(items)
-                    sig.append(low.astype(np.uint16).tobytes())
-                    keys = _BAND_SALT.copy()
-                    for row in low.reshape(BANDS, ROWS).T:
-                        keys = mix(keys * U(0xFF51AFD7ED558CCD) + row)
-                    bands.append(keys.view(np.int64))
+                    low = minima(items).astype(np.uint16)
+                    sig.append(low.tobytes())
+                    bands.append(band_keys(low[None, :])[0])
                 else:
                     sig.append(None)
                 many.append(many[-1] + BANDS * bool(len(items)))
@@ -125,12 +133,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket block: (x, other) where the signature of x resembles one of the other component."""
-    for _, rows in _groups(batches, 3):
-        rep, comp, size, part = (rows.column(c).to_numpy() for c in ("rep", "comp", "size", "part"))
+    for (key, _, _), rows in _groups(batches, 3):
+        rep, comp, size, part, length = (rows.column(c).to_numpy() for c in ("rep", "comp", "size", "part", "length"))
         lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
         if len(rep) < 2 or comp.min() == comp.max():
             continue
         sig = np.stack([np.frombuffer(x, dtype=np.uint16) for x in rows.column("sig").to_pylist()])
+        here = band_keys(sig) == key
         found: set[tuple[int, int]] = set()
         for i in range(0, len(rep), 64):
             j = slice(i, i + 64)
@@ -139,10 +148,17 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 other &= part[j, None] != part[None, :]
             # the smaller component visits the larger one
             other &= (size[j, None] < size[None, :]) | ((size[j, None] == size[None, :]) & (comp[j, None] > comp[None, :]))
+            # sets of too different a size are below the threshold whatever they share
+            small, large = np.minimum(length[j, None], length[None, :]), np.maximum(length[j, None], length[None, :])
+            other &= DEN * small >= NUM * large
             a, b = np.nonzero(other)
             for k in range(0, len(a), 65536):
                 p, q = a[k : k + 65536] + i, b[k : k + 65536]
-                ok = (sig[p] == sig[q]).mean(axis=1) >= LEAST_ESTIMATE
+                same = sig[p] == sig[q]
+                likely = same.mean(axis=1) >= LEAST_ESTIMATE
+                p, q, same = p[likely], q[likely], same[likely]
+                first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                ok = here[p, first]
                 found.update(zip(rep[p[ok]].tolist(), comp[q[ok]].tolist(), strict=True))
         if found:
             x, y = zip(*sorted(found), strict=True)
@@ -190,6 +206,22 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
+def _pivot_links(label: DataFrame, sets: DataFrame, turn: int, before: DataFrame | None) -> DataFrame:
+    """(a, b): links before, and those of representatives of label(key, rep, comp) to one pivot each, whole sets compared."""
+    sizes = label.select("rep", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    open_ = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = label.join(open_, "key", "left_semi").join(sizes, "comp") if turn else label.withColumn("size", F.lit(1))
+    # the first turn takes the smallest id, later ones another member of the largest component each
+    order = F.struct("size", F.xxhash64("rep", F.lit(turn)), "rep") if turn else -F.col("rep")
+    pivots = rest.groupBy("key").agg(F.max_by(F.struct("rep", "comp"), order).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("_c"))
+    asked = rest.join(pivots, "key").where("comp <> _c").groupBy("rep", "pivot").count()
+    asked = asked.groupBy("rep").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot"))
+    both = asked.join(sets, "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("items").alias("others")), "pivot")
+    inter = F.size(F.array_intersect("items", "others"))
+    found = both.where(DEN * inter >= NUM * (F.size("items") + F.size("others") - inter)).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    return found if before is None else before.union(found)
+
+
 def near_duplicates(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     """For every row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
@@ -209,30 +241,28 @@ def near_duplicates(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     known = tables.write(
         feats.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("set_fp")
-        .agg(F.min_by(F.struct("doc_id", "sig", "bands"), "doc_id").alias("r"))
-        .select(F.col("r.doc_id").alias("rep"), "r.sig", "r.bands"),
+        .agg(F.min_by(F.struct("doc_id", "n_shingles", "sig", "bands"), "doc_id").alias("r"))
+        .select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("length"), "r.sig", "r.bands"),
         "reps",
     )
     bands = known.select("rep", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = tables.write(bands.join(shared, "key"), "members")
     candidates = members.select("rep").distinct()
     sets = tables.write(texts(docs).withColumnRenamed("doc_id", "rep").join(candidates, "rep", "left_semi").mapInArrow(_sets, "rep long, items array<long>").dropDuplicates(["rep"]), "sets")
 
-    pivots = members.where("rep <> pivot").groupBy("rep", "pivot").count()
-    pivots = pivots.groupBy("rep").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot"))
-    both = pivots.join(sets, "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("items").alias("others")), "pivot")
-    inter = F.size(F.array_intersect("items", "others"))
-    links = tables.write(both.where(DEN * inter >= NUM * (F.size("items") + F.size("others") - inter)).select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "verified")
-    comps = tables.write(connected_components(links, tables), "components")
+    label, links, comps = members.withColumn("comp", F.col("rep")), None, None
+    for n in range(PIVOT_ROUNDS):
+        links = tables.write(_pivot_links(label, sets, n, links), "verified")
+        comps = tables.write(connected_components(links, tables), "components")
+        label = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
 
-    label = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     open_ = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     weight = label.select("rep", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
-    rest = label.join(open_, "key", "left_semi").join(weight, "comp").join(known.select("rep", "sig"), "rep")
+    rest = label.join(open_, "key", "left_semi").join(weight, "comp").join(known.select("rep", "length", "sig"), "rep")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"), "rep", "comp", "size", "part", "sig")
+    rest = rest.select("key", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"), "rep", "comp", "size", "part", "length", "sig")
     order = ["key", "lo", "hi"]
     visits = tables.write(rest.repartition(*order).sortWithinPartitions(*order).mapInArrow(_alike, "x long, comp long").distinct(), "visits")
 
