@@ -13,15 +13,15 @@ def to_regex(pattern: str) -> str:
     """A glob, or with re: a regular expression, for a case-blind search that is anchored at the name's end only."""
     if pattern.startswith("re:"):
         return "(?iu)" + pattern[3:]
-    deep = pattern.endswith("/*") and not pattern.endswith("**/*")
-    body = pattern[:-1] if deep else pattern
-    lead = ""
+    lead, body, tail = "", pattern, ""
     if body.startswith("**/"):
-        body, lead = body[3:], "(?:.*/)?"
+        lead, body = "(?:.*?/)?", body[3:]
     elif body.startswith("*/"):
-        body, lead = body[2:], "(?:[^/]*/)?"
-    out = re.escape(body).replace(r"\*\*", ".*?").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-    return f"(?iu)(^|/){lead}{out}{'.*' if deep else ''}$"
+        lead, body = "(?:[^/]*/)?", body[2:]
+    if body.endswith("/*") and not body.endswith("**/*"):
+        body, tail = body[:-2], ".*"
+    parts = ("[^/]*".join(map(re.escape, p.split("*"))) for p in body.split("**"))
+    return f"(?iu){lead}{'.*?'.join(parts)}{tail}$"
 
 
 def matches(name: Column, patterns: list[str]) -> Column:

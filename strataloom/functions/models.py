@@ -98,25 +98,35 @@ def kept(judged: DataFrame) -> DataFrame:
 def categorized(chunks: DataFrame, labels: list[str], prompt: Column, path: Column, model: Model = STUB, mode: str = "hybrid", most: int = 5) -> DataFrame:
     """chunks with category_labels, category_source and category_confidence from a reply's label line.
 
-    deductive keeps known labels only; hybrid and inductive keep plausible others, marked [neu]. Test paths are tests whatever
-    the reply says; where no label is left, the path decides with a confidence of 0.5."""
-    from .text import is_test_path, label_line, path_category, plausible_label
-
-    said = F.transform(F.split(F.lower(label_line(reply(prompt, model))), "[,;]"), lambda x: F.trim(F.regexp_replace(x, r"^\[neu\]\s*|[.\s]+$", "")))
-    known = F.array(*[F.lit(x.lower()) for x in labels]) if labels else F.array().cast("array<string>")
-    mine = F.filter(said, lambda x: F.array_contains(known, x))
-    other = F.transform(F.filter(said, lambda x: ~F.array_contains(known, x) & plausible_label(x)), lambda x: F.concat(F.lit("[neu]"), x))
-    found = mine if mode == "deductive" else F.concat(mine, other)
-    found = F.slice(F.array_distinct(found), 1, most)
-    rows = chunks.withColumn("_found", found)
-    is_test, some = is_test_path(path), F.size("_found") > 0
+    inductive keeps what the reply says, deductive known labels only, hybrid also plausible new ones that are marked [neu].
+    Tests get the label tests where it is known. A failed or empty reply leaves it to the path, with a confidence of 0.5.
+    """
+    from .text import is_test_path, label_line, path_labels, plausible_label
+
+    said = F.transform(F.split(label_line(F.col("_said")), "[,\n]"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[-•*]\s*", "")))
+    said = F.filter(said, lambda x: (x != "") & (F.length(x) <= 60) & (F.size(F.split(F.trim(x), r"\s+")) <= 4))
+    known = F.array(*[F.lit(x.lower()) for x in labels if x]) if labels else F.array().cast("array<string>")
+    inner = lambda x: F.lower(F.trim(F.substring(x, 6, 100)))
+    marked = lambda x: F.lower(x).startswith("[neu]")
+
+    def one(x: Column) -> Column:
+        mine = F.when(F.array_contains(known, F.lower(x)), F.lower(x))
+        if mode == "inductive":
+            return x
+        if mode == "deductive":
+            return mine
+        return F.when(marked(x), F.when(F.array_contains(known, inner(x)), inner(x)).when(plausible_label(inner(x)), x)).otherwise(mine)
+
+    found = F.filter(F.transform(said, one), lambda x: x.isNotNull())
+    if "tests" in {x.lower() for x in labels}:
+        found = F.when(is_test_path(path) & ~F.array_contains(found, "tests") & ~F.array_contains(found, "[neu]tests"), F.array_append(found, F.lit("tests"))).otherwise(found)
+    rows = chunks.withColumn("_said", reply(prompt, model))
+    failed = F.col("_said") == ""
+    rows = rows.withColumn("category_labels", F.when(failed, path_labels(path)).otherwise(F.slice(found, 1, most)))
+    some = F.size("category_labels") > 0
     return rows.withColumns(
-        {
-            "category_labels": F.when(is_test, F.array(F.lit("test"))).when(some, F.col("_found")).otherwise(F.array(path_category(path))),
-            "category_source": F.when(is_test, "rule").when(some, "model").otherwise("fallback"),
-            "category_confidence": F.when(is_test, 1.0).when(some, 0.8).otherwise(0.5),
-        }
-    ).drop("_found")
+        {"category_source": F.when(failed, "fallback").otherwise(mode), "category_confidence": F.when(~some, 0.0).when(failed, 0.5).otherwise(1.0)}
+    ).drop("_said")
 
 
 def views(sources: DataFrame, model: Model = STUB, kinds: tuple[str, ...] = ("facts", "decisions", "entities", "keywords")) -> DataFrame:
@@ -128,10 +138,10 @@ def views(sources: DataFrame, model: Model = STUB, kinds: tuple[str, ...] = ("fa
 
 
 def advice(candidates: DataFrame, query: str, model: Model = STUB) -> DataFrame:
-    """(chunk_id, advice): a relevance from 0 to 1 that a reply starts with, 0.5 where it has none."""
-    answer = reply(F.concat(F.lit(f"Rate from 0 to 1 how relevant this is to: {query}\n\n"), F.col("text")), model)
-    number = F.regexp_extract(answer, r"^\s*([01](?:[.][0-9]+)?)", 1).try_cast("double")
-    return candidates.select("chunk_id", F.coalesce(F.least(F.lit(1.0), number), F.lit(0.5)).alias("advice"))
+    """(chunk_id, advice): the relevance that a reply states, cut to 0..1; 0.5 where it is no number."""
+    answer = reply(F.concat(F.lit(f"Rate from 0 to 1 how relevant this is to: {query}\n\n"), F.substring("text", 1, 300)), model)
+    number = F.trim(answer).try_cast("double")
+    return candidates.select("chunk_id", F.when(number.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))).alias("advice"))
 
 
 def batches(texts: list[str], size: int) -> Iterator[list[str]]:

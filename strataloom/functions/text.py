@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Distinct runs of a-z and 0-9 of the lower-cased text."""
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1))
@@ -24,10 +29,10 @@ def source_id(repo: Column, path: Column) -> Column:
 
 
 def source_fingerprint(source: Column) -> Column:
-    """The third colon part as a slug; beyond 48 characters 40 of them and a hash of seven."""
-    part = F.element_at(F.split(source, ":", 3), -1)
-    slug = F.translate(part, "/.", "--")
-    short = F.concat(F.substring(slug, 1, 40), F.lit("-"), F.substring(F.sha2(part, 256), 1, 7))
+    """What follows the second colon as a slug; beyond 48 characters 40 of them and a hash of seven."""
+    part = F.when(F.size(F.split(source, ":", 3)) == 3, F.element_at(F.split(source, ":", 3), -1)).otherwise(source)
+    slug = F.translate(part, "/\\:", "---")
+    short = F.concat(F.substring(slug, 1, 40), F.lit("-"), F.substring(F.sha2(slug, 256), 1, 7))
     return F.when(F.length(slug) > 48, short).otherwise(slug)
 
 
@@ -78,19 +83,34 @@ def run_id(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd-HHmmss")
 
 
-def is_code_line(line: Column) -> Column:
-    return line.rlike(r"^(\s{4,}|\t|[+@-]|[{}();]|(def|class|import|from|return|function|const|let|var|if|for|while)\b)") | line.rlike(r"[;{}]\s*$")
+# Lines that are code or a tool's output, fenced blocks, and the marks of a diff.
+CODE_LINES = (
+    r"^\s*<\?php\b",
+    r"^\s*(import|from)\s+\w",
+    r"^\s*(class|def|function|public|private|protected|interface|trait)\s+\w",
+    r"^\s*(use|namespace)\s+[\w\\]+",
+    r"^\s*[+\-]{3}\s+[ab]/",
+    r"^\s*@@\s+-\d+,\d+\s+\+\d+,\d+\s+@@",
+    r"^\s*[\d]+→",
+    r"^\s*[\}\]\)]\s*[,;]?\s*$",
+    r"^\s*//",
+    r"^\s*#\s*include\b",
+)
+FENCE = r"(?s)```[^\n]*\n.*?\n```"
+DIFF = (r"(?m)^@@\s+-\d+,\d+\s+\+\d+,\d+\s+@@", r"(?m)^---\s+[ab]/.*\n\+\+\+\s+[ab]/")
+#: After each line's end, as str.splitlines sees it.
+LINE_ENDS = r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85  ])|(?<=\r)(?!\n)"
 
 
-FENCE = "(?s)```.*?```"
+def is_code_line(line: Column) -> Column:
+    return line.rlike("(?U)" + "|".join(CODE_LINES))
 
 
 def code_density(text: Column) -> Column:
     """Share of characters in fences and in lines that look like code, at most 1; 0 for empty text."""
     body = F.coalesce(text, F.lit(""))
-    fenced = F.aggregate(F.regexp_extract_all(body, F.lit("(?s)(```.*?```)"), 1), F.lit(0), lambda acc, x: acc + F.length(x))
-    rest = F.regexp_replace(body, FENCE, "")
-    lines = F.filter(F.split(rest, "\n"), lambda x: is_code_line(x))
+    fenced = F.aggregate(F.regexp_extract_all(body, F.lit(FENCE), 0), F.lit(0), lambda acc, x: acc + F.length(x))
+    lines = F.filter(F.split(F.regexp_replace(body, FENCE, ""), LINE_ENDS), lambda x: is_code_line(x))
     coded = F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.length(x))
     return F.when(F.length(body) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), (fenced + coded) / F.length(body)))
 
@@ -98,21 +118,31 @@ def code_density(text: Column) -> Column:
 def natural_words(text: Column) -> Column:
     """Words of three letters or more outside fences and code lines."""
     rest = F.regexp_replace(F.coalesce(text, F.lit("")), FENCE, "")
-    lines = F.filter(F.split(rest, "\n"), lambda x: ~is_code_line(x))
-    return F.regexp_count(F.array_join(lines, "\n"), F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]{3,}")).cast("int")
+    lines = F.filter(F.split(rest, LINE_ENDS), lambda x: ~is_code_line(x))
+    return F.regexp_count(F.array_join(lines, ""), F.lit(r"(?U)\b[a-zA-ZäöüÄÖÜß]{3,}\b")).cast("int")
 
 
 def skip_reason(text: Column, source_type: Column) -> Column:
     """Why a conversation summary is not worth a chunk; empty where it is, and for all other source types."""
     body = F.coalesce(text, F.lit(""))
     density, words = code_density(body), natural_words(body)
-    diff = body.rlike(r"(?m)^(@@ .* @@|diff --git |[+-]{3} [ab]/)")
+    diff = body.rlike(DIFF[0]) | body.rlike(DIFF[1])
     why = (
-        F.when(F.length(F.trim(body)) < 80, "too_short").when(diff, "diff").when((density > 0.6) & (words < 40), "code_heavy").when(density > 0.85, "code_only").otherwise("")
+        F.when(F.length(body) < 80, "too_short")
+        .when(diff, "diff_output")
+        .when((density > 0.6) & (words < 40), F.format_string("code_density=%.2f words=%d", density, words))
+        .when(density > 0.85, F.format_string("code_density=%.2f", density))
+        .otherwise("")
     )
     return F.when(source_type == "conversation_summary", why).otherwise("")
 
 
+def topic_words(text: Column) -> Column:
+    """Lower-cased words of three or more of a-z, 0-9, _ and -, from a letter on, in order."""
+    runs = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_-]+)"), 1), lambda x: F.trim(x, F.lit("-")))
+    return F.filter(runs, lambda x: x.rlike("^[a-z][a-z0-9_-]{2,}$"))
+
+
 def plausible_label(label: Column) -> Column:
     """2 to 30 of a-z, 0-9, umlauts, _ and -; from five on no character makes up more than 60 %."""
     chars = F.split(label, "")
@@ -136,19 +166,26 @@ def parsed_json(raw: Column) -> Column:
     return F.coalesce(valid(F.regexp_extract(raw, r"(?s)^\s*(\{.*\})\s*$", 1)), valid(fence), valid(braces))
 
 
-def split_prompt(prompt: Column, marks: tuple[str, ...] = ("\nDatei:", "\nFile:", "\nCode:"), default: str = "You analyse code.") -> Column:
-    """(system, user): the prompt cut at the earliest mark; a default system text where there is none."""
-    at = F.least(*[F.nullif(F.instr(prompt, m), F.lit(0)) for m in marks])
+# Where a prompt's file content starts, and the system text where it has none.
+FILE_MARKS = ("## Datei:", "---\n\n## ", "```")
+DEFAULT_SYSTEM = "Du bist ein erfahrener Code-Reviewer mit Fokus auf nachhaltige Software-Qualität."
+
+
+def split_prompt(prompt: Column) -> Column:
+    """(system, user): the prompt cut at the earliest mark past its start; a default system text where there is none."""
+    at = F.least(*[F.when(F.instr(prompt, m) > 1, F.instr(prompt, m)) for m in FILE_MARKS])
+    user = stripped(F.substring(prompt, at, F.length(prompt)))
+    none = at.isNull() | (user == "")
     return F.struct(
-        F.when(at.isNull(), F.lit(default)).otherwise(F.trim(F.substring(prompt, F.lit(1), at - 1))).alias("system"),
-        F.when(at.isNull(), prompt).otherwise(F.trim(F.substring(prompt, at, F.length(prompt)))).alias("user"),
+        F.when(none, F.lit(DEFAULT_SYSTEM)).otherwise(stripped(F.substring(prompt, F.lit(1), at - 1))).alias("system"),
+        F.when(none, stripped(prompt)).otherwise(user).alias("user"),
     )
 
 
 def label_line(response: Column) -> Column:
-    """What follows "Kategorien:" or the like, else the first line."""
-    named = F.regexp_extract(response, r"(?im)^\s*(?:kategorien?|categories|category|labels?)\s*:\s*(.+)$", 1)
-    return F.when(named != "", F.trim(named)).otherwise(F.trim(F.element_at(F.split(response, "\n"), 1)))
+    """What follows "Kategorien:" or the like, else the whole response."""
+    named = F.regexp_extract(response, r"(?im)^\s*(?:kategorien|categories|labels|kategorie|category)\s*[:\-]\s*(.+)$", 1)
+    return F.when(named != "", stripped(named)).otherwise(response)
 
 
 def progress(line: Column) -> Column:
@@ -192,43 +229,108 @@ def traffic_light(cost: Column, flat: float) -> Column:
     return F.when(ratio < 0.5, "green").when(ratio < 0.85, "yellow").otherwise("red")
 
 
-TEST_PATH = r"(?i)(^|/)(tests?|spec|__tests__)/|(^|/)test_[^/]*$|_test[.][a-z]+$|[.](test|spec)[.][jt]sx?$"
+# Test paths in categorisation and in the judging of findings, and labels of paths where no model answers.
+TEST_PATH = r"(?i)(?:^|/)(?:tests?|spec|__tests__)/|test_[^/]+\.py|[^/]+_test\.(py|js|ts)|[^/]+\.(?:test|spec)\.[a-z0-9]+|conftest"
+TEST_FILE = r"(?i)(?:^|/)test[s]?[_\-].*\.(?:py|php|js|ts|go|java)$|(?:^|/)(?:tests?|spec|__tests?__|test)|_test\.(?:py|php|js|ts|go|java)$"
+PATH_RULES = (
+    ("tests", r"test_|_test\.|/tests/|conftest"),
+    ("api", r"/api/|/routes/|/controllers/|router"),
+    ("data_access", r"/models?/|/db/|/migration|repositor"),
+    ("auth", r"/auth|/security|/guards?/|/policies?"),
+    ("domain", r"/service|/domain|/usecase|/business"),
+    ("middleware", r"/middleware|/pipeline"),
+    ("config", r"config.*\.(py|yaml|yml|env)|settings\.|constants\."),
+    ("utils", r"/utils?/|/helpers?/|/tools?/"),
+    ("caching", r"/cache|redis|memcache"),
+    ("logging", r"/log|monitor|metric|trace"),
+)
+FILE_LABELS = ((r"(?i)\.(?:php|blade\.php)$", "PHP/Laravel"), (r"(?i)\.py$", "Python/Django"), (r"(?i)\.(?:js|ts)$", "JavaScript/TypeScript"), (r"(?i)\.go$", "Go"))
 
 
 def is_test_path(path: Column) -> Column:
     return path.rlike(TEST_PATH)
 
 
-PATH_RULES = (
-    ("test", TEST_PATH),
-    ("config", r"(?i)[.](ya?ml|toml|ini|cfg|env|json)$"),
-    ("docs", r"(?i)[.](md|rst|txt)$|(^|/)docs/"),
-    ("api", r"(?i)(^|/)(api|routes?|controllers?)/"),
-    ("ui", r"(?i)(^|/)(views?|templates|components|pages)/|[.](css|html|vue|tsx)$"),
-    ("data", r"(?i)(^|/)(models?|migrations?|schemas?)/|[.]sql$"),
-    ("script", r"(?i)(^|/)(scripts?|tools?|bin)/|[.]sh$"),
-    ("source", r"(?i)[.](py|js|ts|php|java|go|rs|rb|c|cpp|h)$"),
-)
+def is_test_file(path: Column) -> Column:
+    return path.rlike(TEST_FILE)
 
 
-def path_category(path: Column) -> Column:
-    out = F.lit("other")
-    for name, pattern in reversed(PATH_RULES):
+def file_label(path: Column) -> Column:
+    out = F.lit("Source")
+    for pattern, name in reversed(FILE_LABELS):
         out = F.when(path.rlike(pattern), F.lit(name)).otherwise(out)
+    return F.when(is_test_file(path), F.lit("Test")).otherwise(out)
+
+
+def path_labels(path: Column) -> Column:
+    """The label of the first rule that fits a path, as an array; empty where none does."""
+    out = F.array().cast("array<string>")
+    for name, pattern in reversed(PATH_RULES):
+        out = F.when(path.rlike("(?i)" + pattern), F.array(F.lit(name))).otherwise(out)
     return out
 
 
+# Axis, confidence, whether ^ stands at every line's start, and pattern, in the order in which they are tried.
 IGIO_RULES = (
-    ("outcome", 0.9, r"[0-9]+ passed|(?i)\ball tests pass|\bfixed in\b|\bresolved\b"),
-    ("issue", 0.9, r"Traceback|(?i)\berror\b|\bexception\b|\bfails?\b|\bbug\b"),
-    ("intervention", 0.8, r"(?i)\bfix(es|ed)?\b|\brefactor|\bimplement|\badd(s|ed)?\b.*\btest"),
-    ("goal", 0.75, r"(?i)^#+\s*(plan|goal|ziel)|\bshould\b|\bmust\b|\bTODO\b"),
+    ("outcome", 0.92, "", r"\b(\d+\s+passed|\d+\s+failed|tests? grün|tests? red)\b"),
+    ("issue", 0.95, "", r"\bTraceback \(most recent call last\)"),
+    ("issue", 0.78, "", r"\b(?:bug|broken|regression|TODO|FIXME)\b|\bfix(?:e[ds])?:"),
+    ("intervention", 0.75, "m", r"^##?\s*Plan\b|\bImplemented\b|\brefactor(?:ed|ing)\b"),
 )
+# Words that models use for an axis.
+AXIS_ALIASES = {
+    "test": "outcome", "tests": "outcome", "testing": "outcome", "result": "outcome", "results": "outcome", "fix": "intervention", "fixes": "intervention",
+    "refactor": "intervention", "implementation": "intervention", "bug": "issue", "problem": "issue", "question": "issue",
+}
+AXES = ("issue", "goal", "intervention", "outcome")
 
 
 def igio_axis(text: Column) -> Column:
-    """(axis, confidence) by the first of four rules that matches; an empty axis where none does."""
+    """(axis, confidence) by the first rule that matches; an empty axis where none does."""
     axis, sure = F.lit(""), F.lit(0.0)
-    for name, confidence, pattern in reversed(IGIO_RULES):
-        axis, sure = F.when(text.rlike(pattern), F.lit(name)).otherwise(axis), F.when(text.rlike(pattern), F.lit(confidence)).otherwise(sure)
+    for name, confidence, lines, pattern in reversed(IGIO_RULES):
+        hit = text.rlike(f"(?iu{lines})" + pattern)
+        axis, sure = F.when(hit, F.lit(name)).otherwise(axis), F.when(hit, F.lit(confidence)).otherwise(sure)
     return F.struct(axis.alias("axis"), sure.alias("confidence"))
+
+
+def axis_verdict(raw: Column) -> Column:
+    """(axis, confidence, rationale) of a model's reply: its outermost JSON object; other words for an axis cost 0.1, unknown
+    ones make it null, a confidence is cut to 0..1 and a rationale to 200 characters."""
+    body = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
+    part = lambda k: F.get_json_object(body, f"$.{k}")
+    said = F.lower(F.trim(F.coalesce(part("axis"), F.lit(""))))
+    alias = F.create_map(*[F.lit(x) for kv in AXIS_ALIASES.items() for x in kv])[said]
+    known = said.isin("", *AXES)
+    sure = F.coalesce(part("confidence").try_cast("double"), F.lit(0.0)) - F.when(known, 0.0).otherwise(0.1)
+    out = F.struct(F.when(known, said).otherwise(alias).alias("axis"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"), F.substring(F.coalesce(part("rationale"), F.lit("")), 1, 200).alias("rationale"))
+    return F.when(F.try_parse_json(body).isNotNull() & (body != "") & (known | alias.isNotNull()), out)
+
+
+MENTIONED_FILE = r"\b((?:src|tests?|lib|app|config)/[A-Za-z0-9_/.-]+\.(?:py|js|ts|java|go|rs|rb|php|cpp|c|h|yaml|yml|json))\b"
+# What to search for by the type of a finding; {f} is the function, {c} the category, {n} the file.
+FINDING_QUERIES = {
+    "redundanz": "Funktion {f} ähnliche Implementierung", "sicherheit": "Auth Validation User-Input {c}", "zombie_code": "Aufruf {f} Referenz", "inkonsistenz": "[{c}] Fehlerbehandlung Muster",
+    "fehlerbehandlung": "Exception Try-Catch {c} Pattern", "overengineering": "[{c}] Abstraktion Vereinfachung", "unklar": "[{c}] {n} Kontext Abhängigkeit",
+}
+
+
+def finding_query(kind: Column, evidence: Column, filename: Column, category: Column) -> Column:
+    """A search for what is like a finding: by its type, with the function that its evidence names, else the file's stem."""
+    named = F.regexp_extract(F.coalesce(evidence, F.lit("")), r"(?iU)(?:def|function|public\s+function|private\s+function|protected\s+function|func)\s+(\w+)", 1)
+    stem = F.regexp_replace(F.element_at(F.split(F.coalesce(filename, F.lit("")), "/"), -1), r"[.][^.]*$", "")
+    form = F.create_map(*[F.lit(x) for kv in FINDING_QUERIES.items() for x in kv])[F.lower(F.trim(F.coalesce(kind, F.lit(""))))]
+    out = F.coalesce(form, F.lit("[{c}] {n}"))
+    full = lambda c, v: F.coalesce(F.nullif(c, F.lit("")), F.lit(v))
+    for mark, value in (("{f}", F.when(named != "", named).otherwise(stem)), ("{c}", full(category, "uncategorized")), ("{n}", full(filename, "unknown"))):
+        out = F.replace(out, F.lit(mark), value)
+    return F.trim(out)
+
+
+def extracted_findings(raw: Column) -> Column:
+    """Findings of a model's JSON reply that have a file, a type, a reason and an advice, as an array."""
+    item = "struct<datei: string, zeile: string, typ: string, `begründung`: string, empfehlung: string>"
+    body = F.coalesce(F.nullif(F.regexp_extract(raw, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit("")), F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit("")), raw)
+    listed = F.coalesce(F.from_json(body, f"struct<findings: array<{item}>>")["findings"], F.from_json(body, f"array<{item}>"))
+    good = F.filter(listed, lambda f: (F.trim(f["datei"]) != "") & (F.trim(f["typ"]) != "") & (F.trim(f["begründung"]) != "") & (F.trim(f["empfehlung"]) != ""))
+    return F.transform(good, lambda f: F.struct(f["typ"].alias("type"), F.coalesce(f["zeile"], F.lit("")).alias("line_hint"), F.substring(f["begründung"], 1, 200).alias("evidence_excerpt"), f["empfehlung"].alias("fix_suggestion"), F.lit("low").alias("confidence"), F.lit("info").alias("severity"), F.lit("freetext_extraction").alias("source")))

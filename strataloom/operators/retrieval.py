@@ -34,13 +34,13 @@ def in_scope(chunks: DataFrame, sources: DataFrame | None = None, repo: str | No
 
 
 def symbolic_score(terms: list[str], text: Column, source: Column, labels: Column) -> Column:
-    """Share of the terms in the text, 0.2 more if one is part of the source, 0.1 if one is a label; 1 at most."""
+    """Share of the terms in the text, 0.2 more if one is part of the source, 0.1 if one is a word of a label; 1 at most."""
     if not terms:
         return F.lit(0.0)
     query = F.array(*[F.lit(t) for t in terms])
     overlap = F.size(F.array_intersect(query, tokens(text))) / F.lit(len(terms))
     in_source = F.exists(query, lambda t: F.contains(F.lower(source), t))
-    in_labels = F.arrays_overlap(query, F.transform(labels, lambda x: F.lower(x)))
+    in_labels = F.arrays_overlap(query, tokens(F.array_join(labels, ",")))
     return F.least(F.lit(1.0), overlap + F.when(in_source, 0.2).otherwise(0.0) + F.when(in_labels, 0.1).otherwise(0.0))
 
 
@@ -56,8 +56,12 @@ def final_score(vector: Column, symbolic: Column, recency: Column, affinity: Col
     return score if compacted is None else F.when(compacted, F.least(F.lit(1.0), score + 0.10)).otherwise(score)
 
 
-def reasons(vector: Column, symbolic: Column, recency: Column, affinity: Column) -> Column:
-    why = [F.when(vector > 0.7, "semantic match"), F.when(symbolic > 0.5, "keyword match"), F.when(recency > 0.8, "recent"), F.when(affinity > 0, "same source")]
+def reasons(vector: Column, symbolic: Column, recency: Column, affinity: Column, advice: Column) -> Column:
+    # fixed values: the names of the reasons and from where on they count
+    why = [
+        F.when(vector > 0.5, "embedding_similarity"), F.when(symbolic > 0.3, "token_overlap"), F.when(recency > 0.8, "recent_chunk"),
+        F.when(affinity > 0, "source_affinity_match"), F.when(advice > 0.7, "llm_advisor_high"),
+    ]
     return F.filter(F.array(*why), lambda x: x.isNotNull())
 
 
@@ -81,11 +85,12 @@ def hybrid_search(chunks: DataFrame, feedback: DataFrame, terms: list[str], top_
         rows, advised = rows.join(advice, "chunk_id", "left"), F.coalesce("advice", F.lit(0.5))
     recent = recency_score(F.col("created_at"), now) if now is not None and "created_at" in chunks.columns else F.lit(0.0)
     near = F.when(F.col("source_id") == affinity_source, 1.0).otherwise(0.0) if affinity_source is not None and "source_id" in chunks.columns else F.lit(0.0)
-    symbolic = symbolic_score(terms, F.col("text"), F.col("repo"), F.col("category_labels"))
+    text = F.concat_ws(" ", "text", "summary") if "summary" in chunks.columns else F.col("text")
+    symbolic = symbolic_score(terms, text, F.col("source_id" if "source_id" in chunks.columns else "repo"), F.col("category_labels"))
     opinion = F.coalesce("feedback_score", F.lit(0.5))
     scored = rows.select(
         "chunk_id", "text", F.round(symbolic, 6).alias("score_symbolic"), F.round(opinion, 6).alias("feedback_score"),
-        F.round(final_score(vector, symbolic, recent, near, opinion, advised), 6).alias("score_final"), reasons(vector, symbolic, recent, near).alias("reasons"),
+        F.round(final_score(vector, symbolic, recent, near, opinion, advised), 6).alias("score_final"), reasons(vector, symbolic, recent, near, advised).alias("reasons"),
     )
     return scored.orderBy(F.desc("score_final"), "chunk_id").limit(top_k)
 
@@ -117,23 +122,29 @@ def budget_prefix(rows: DataFrame, group: str, order: list, size: Column, budget
 
 
 def compressed(results: DataFrame, budget: int) -> DataFrame:
-    """(context): the best hit of each source, each within an equal share of what is left of the budget, as one text.
+    """(context): the best hit of each source, each within an equal share of what is left of the budget, as one text; the first
+    entry that does not fit ends it, and without any it is empty.
 
     A fold over the at most top_k results: what an entry takes depends on what all before it took.
     """
     first = Window.partitionBy("source_id").orderBy(F.desc("score_final"), "chunk_id")
     best = results.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    listed = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("score_final")).alias("s"), "chunk_id", "source_id", "text", "summary"))).alias("xs"))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"), F.size("xs").alias("left"), F.lit(False).alias("full"))
+    labels = F.array_join("category_labels", ", ") if "category_labels" in results.columns else F.lit("")
+    rows = best.select((-F.col("score_final")).alias("s"), "chunk_id", "source_id", F.when(labels == "", "?").otherwise(labels).alias("labels"), "text", F.coalesce("summary", F.lit("")).alias("summary"))
+    listed = rows.agg(F.sort_array(F.collect_list(F.struct("s", "chunk_id", "source_id", "labels", "text", "summary"))).alias("xs"))
+    head = "## Memory Context\n"
+    start = F.struct(F.lit("").alias("text"), F.lit(len(head) + 1).alias("used"), F.size("xs").alias("left"), F.lit(False).alias("full"))
 
     def add(acc, x):
         share = F.greatest(F.lit(100), F.floor((F.lit(budget) - acc["used"]) / F.greatest(acc["left"], F.lit(1))).cast("int"))
-        body = F.when((F.length(x["text"]) > share) & (F.length(x["summary"]) > 0), x["summary"]).otherwise(x["text"])
-        entry = F.concat(F.lit("### "), x["source_id"], F.lit("\n"), F.substring(body, F.lit(1), share), F.lit("\n\n"))
+        body = F.when((F.length(x["text"]) > 500) & (x["summary"] != ""), x["summary"]).otherwise(x["text"])
+        body = F.when(F.length(body) > share, F.concat(F.substring(body, F.lit(1), share - 3), F.lit("..."))).otherwise(body)
+        entry = F.concat(F.lit("\n- ["), x["labels"], F.lit("] "), x["source_id"], F.lit("\n  "), body)
         fits = ~acc["full"] & (acc["used"] + F.length(entry) <= budget)
         return F.struct(
             F.when(fits, F.concat(acc["text"], entry)).otherwise(acc["text"]).alias("text"), F.when(fits, acc["used"] + F.length(entry)).otherwise(acc["used"]).alias("used"),
             (acc["left"] - 1).alias("left"), (~fits).alias("full"),
         )
 
-    return listed.select(F.aggregate("xs", start, add)["text"].alias("context"))
+    body = F.aggregate("xs", start, add)["text"]
+    return listed.select(F.when(body == "", "").otherwise(F.concat(F.lit(head), body)).alias("context"))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import signal_score, split_prompt
+from ..functions.text import signal_score, split_prompt, stripped
 from .feedback import best_signal
 
 
 def auto_rating(labels: Column, level: Column, quality: Column) -> Column:
-    """One to five stars: for labels, a fine level and a good quality."""
-    stars = F.lit(1) + F.when(F.size(labels) > 0, 1).otherwise(0) + F.when(F.size(labels) > 2, 1).otherwise(0) + F.when(level.isin("function", "class", "section"), 1).otherwise(0) + F.when(quality >= 0.7, 1).otherwise(0)
-    return F.least(F.lit(5), stars).cast("string")
+    """Stars without a model: five for labelled functions, classes and blocks, down to two for what tells nothing."""
+    labelled, fine = F.size(labels) > 0, F.coalesce(level.isin("function", "class", "block"), F.lit(False))
+    some = fine | F.coalesce(level.isin("section", "view_fact", "view_decision"), F.lit(False))
+    return F.when(labelled & fine, "5").when(labelled | (fine & (F.coalesce(quality, F.lit(0.0)) > 0)), "4").when(some, "3").otherwise("2")
 
 
 def auto_feedback(chunks: DataFrame, feedback: DataFrame, batch: int | None = None) -> DataFrame:
@@ -31,17 +32,38 @@ def category_pairs(chunks: DataFrame, feedback: DataFrame, limit: int | None = N
     return rows.orderBy(F.desc("quality_score"), "chunk_id").limit(limit) if limit else rows
 
 
-def context_pairs(chunks: DataFrame, feedback: DataFrame, budget: int = 3000, cap: int = 500) -> DataFrame:
-    """Of each source: its chunks in order, each cut to cap, until the budget is first exceeded, with the mean rating.
+# The order of levels in a context.
+LEVELS = {"file": 0, "class": 1, "function": 2, "block": 3, "section": 4}
 
-    The running sum finds the prefix first, so what is gathered into one text is bounded by the budget."""
+
+def context_pairs(chunks: DataFrame, feedback: DataFrame, budget: int = 3000) -> DataFrame:
+    """Of each source (source_id, context, chunks, labels, avg_rating, prompt, completion): its chunks by level, rating and age,
+    files cut to 500 and others to 300 characters, until the budget is first exceeded; sources without any text are left out.
+
+    The running sum finds the prefix first, so what is gathered into one text is bounded by the budget; labels are a vocabulary."""
     scores = feedback.groupBy("chunk_id").agg(F.sum(signal_score(F.col("signal"))).alias("rating"))
-    rows = chunks.join(scores, "chunk_id", "left").withColumns({"rating": F.coalesce("rating", F.lit(0.0)), "part": F.substring("text", 1, cap)})
-    mean = rows.groupBy("source_id").agg(F.round(F.avg("rating"), 6).alias("avg_rating"), F.count(F.lit(1)).alias("chunks"))
-    run = Window.partitionBy("source_id").orderBy(F.desc("rating"), "ordinal", "chunk_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = rows.withColumns({"_run": F.sum(F.length("part")).over(run), "_n": F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("rating"), "ordinal", "chunk_id"))}).where(F.col("_run") <= budget)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "part"))), lambda x: x["part"]), "\n\n")
-    return mean.join(taken.groupBy("source_id").agg(text.alias("context")), "source_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    rows = chunks.join(scores, "chunk_id", "left").withColumn("level", F.coalesce("chunk_level", F.lit("")))
+    all_labels = rows.select("source_id", F.explode("category_labels").alias("label")).where("trim(label) <> ''").groupBy("source_id").agg(F.sort_array(F.collect_set(F.trim("label"))).alias("labels"))
+    whole = rows.groupBy("source_id").agg(F.round(F.coalesce(F.avg("rating"), F.lit(0.0)), 6).alias("avg_rating"), F.count(F.lit(1)).alias("chunks"))
+    part = F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.when(F.col("level") == "file", 500).otherwise(300))
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("level")], F.lit(9))
+    rows = rows.withColumns({"part": part, "_rank": rank, "rating": F.coalesce("rating", F.lit(0.0))}).where("part <> ''")
+    order = Window.partitionBy("source_id").orderBy("_rank", F.desc("rating"), *(["created_at"] if "created_at" in chunks.columns else []), "chunk_id")
+    taken = rows.withColumns({"_run": F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_n": F.row_number().over(order)}).where(F.col("_run") <= budget)
+    entry = F.concat(F.lit("### ["), "level", F.lit("] "), F.element_at(F.split("source_id", "/"), -1), F.lit("\n"), "part")
+    context = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", entry.alias("e")))), lambda x: x["e"]), "\n\n")
+    out = whole.join(taken.groupBy("source_id").agg(context.alias("context")), "source_id").join(all_labels, "source_id", "left")
+    out = out.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
+    listed = F.array_join("labels", ", ")
+    hint = F.when(F.size("labels") > 0, F.concat(F.lit(" (Kategorien: "), listed, F.lit(")"))).otherwise("")
+    task = F.concat(F.lit("Analysiere den Code in `"), "source_id", F.lit("`"), hint, F.lit(" und beschreibe die Hauptverantwortlichkeiten."))
+    known = F.when(F.size("labels") > 0, F.concat(F.lit(" Erkannte Labels: "), listed, F.lit("."))).otherwise("")
+    return out.withColumns(
+        {
+            "prompt": F.concat(F.lit("<memory_context>\n"), "context", F.lit("\n</memory_context>\n\nAufgabe: "), task),
+            "completion": F.concat(F.lit("Der Memory-Kontext für `"), "source_id", F.lit("` enthält "), F.col("chunks").cast("string"), F.lit(" Chunk(s) über "), F.size("labels").cast("string"), F.lit(" Kategorie(n)."), known),
+        }
+    )
 
 
 def prompt_hash(system: Column, user: Column) -> Column:
@@ -54,25 +76,38 @@ def export_diff(entries: DataFrame, exported: DataFrame) -> DataFrame:
 
 
 def formatted(entries: DataFrame, form: str) -> DataFrame:
-    """Log entries as raw rows, alpaca rows or sharegpt conversations."""
+    """Log entries as raw rows, alpaca rows (the prompt cut at its first file line) or sharegpt conversations."""
+    prompt, response = F.coalesce("prompt", F.lit("")), F.coalesce("raw_response", F.lit(""))
     if form == "raw":
-        return entries
-    parts = split_prompt(F.col("prompt"))
+        return entries.select(prompt.alias("prompt"), response.alias("response"))
     if form == "alpaca":
-        return entries.select(parts["system"].alias("instruction"), parts["user"].alias("input"), F.col("raw_response").alias("output"))
+        at = F.instr(prompt, "\nDatei:")
+        head = F.when(at > 0, F.substring(prompt, F.lit(1), at - 1)).otherwise(prompt)
+        return entries.select(stripped(head).alias("instruction"), F.when(at > 0, stripped(F.substring(prompt, at + 1, F.length(prompt)))).otherwise("").alias("input"), response.alias("output"))
     if form == "sharegpt":
         turn = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
-        return entries.select(F.array(turn("system", parts["system"]), turn("human", parts["user"]), turn("gpt", F.col("raw_response"))).alias("conversations"))
+        return entries.select(F.array(turn("human", prompt), turn("gpt", response)).alias("conversations"))
     raise ValueError(f"no such form: {form}")
 
 
+def prepared(samples: DataFrame, partial: bool = False, share: float = 0.1, seed: int = 42) -> DataFrame:
+    """Chat messages of annotated samples (prompt_hash, prompt, raw_response, quality) that are good, or with partial nearly so,
+    and have an answer of ten characters or more; validation marks a seeded share of them, at least one."""
+    from .dedup import split_train
+
+    rows = samples.where(F.col("quality").isin("good", *["partial"] * partial) & (stripped(F.col("prompt")) != "") & (F.length(stripped(F.col("raw_response"))) >= 10))
+    parts = split_prompt(stripped(F.col("prompt")))
+    say = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    messages = F.array(say("system", parts["system"]), say("user", parts["user"]), say("assistant", stripped(F.col("raw_response"))))
+    return split_train(rows.select("prompt_hash", "quality", messages.alias("messages")), "prompt_hash", share, seed)
+
+
 def labelled_log(log: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Log rows with a label from the verdicts(run_id, filename, verdict) on their file."""
-    v = verdicts.groupBy("run_id", "filename").agg(F.bool_and(F.col("verdict") == "confirmed").alias("all_ok"), F.bool_or(F.col("verdict") == "rejected").alias("any_bad"))
+    fine = F.col("verdict").isin("confirmed", "refined")
+    v = verdicts.groupBy("run_id", "filename").agg(F.bool_and(fine).alias("all_ok"), F.bool_and(F.col("verdict") == "rejected").alias("all_bad"))
     rows = log.join(v, ["run_id", "filename"], "left")
-    label = (
-        F.when(~F.col("parsed_ok"), "negative").when(F.col("findings_count") == 0, "neutral").when(F.col("any_bad") & F.col("all_ok").isNotNull(), "negative").when(F.col("all_ok"), "positive").otherwise("candidate")
-    )
+    label = F.when(~F.col("parsed_ok"), "negative").when(F.col("findings_count") == 0, "neutral").when(F.col("all_bad"), "negative").when(F.col("all_ok"), "positive").otherwise("candidate")
     return rows.withColumn("label", label)
 
 

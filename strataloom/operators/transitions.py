@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import topic_words
 from ..functions.vectors import cosine
 
 
@@ -25,7 +26,7 @@ def next_topics(counts: DataFrame, top_k: int = 3) -> DataFrame:
 
 def topics_of(texts: DataFrame, index: DataFrame) -> DataFrame:
     """(id, topic, pos): topics of an index(word, cluster) in the order of their first words in texts(id, text)."""
-    words = texts.select("id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)).alias("pos", "word"))
+    words = texts.select("id", F.posexplode(topic_words(F.col("text"))).alias("pos", "word"))
     return words.join(index.select("word", "cluster"), "word").groupBy("id", F.col("cluster").alias("topic")).agg(F.min("pos").alias("pos"))
 
 

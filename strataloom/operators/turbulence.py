@@ -7,30 +7,39 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import sequence_ratio
 
+# Categories in the order that decides ties, the points of a keyword and the keywords of each.
 KEYWORDS = (
-    ("Daten", ("sql", "query", "select", "insert", "model", "table")),
-    ("UI", ("html", "css", "render", "view", "button")),
-    ("KI", ("model", "embedding", "prompt", "llm", "token")),
-    ("Config", ("config", "env", "setting")),
-    ("Sicherheit", ("auth", "password", "secret", "token", "permission")),
-    ("Logik", ()),
+    ("Daten", 2, ("::create", "::find", "::where", "->save", "->delete", "migration", "schema::", "$fillable", "belongsto", "hasmany")),
+    ("UI", 2, ("blade", "<div", "<form", "wire:", "@if", "@foreach", "class=", "x-data")),
+    ("Sicherheit", 2, ("auth::", "validate", "authorize", "policy", "gate::", "middleware", "sanctum", "abort(403")),
+    ("KI", 3, ("langdock", "agent", "ollama", "embedding", "llm", "openai", "anthropic", "chat/completions")),
+    ("Logik", 1, ("",)),
+    ("Config", 1, ("route::", "config(", "env(", "return [")),
 )
+# Names that tell nothing.
+NAMELESS = ("unbekannt", "nicht_erkannt")
+NAMELESS_START = ("block_", "fehler_")
+FUNCTION_HEAD = r"(?U)(?:function|public|private|protected)\s+(\w+)\s*\("
 
 
 def heuristic_category(code: Column, keywords=KEYWORDS) -> Column:
-    """The category with most keywords in a text; Logik has 1 from the start, ties go to the first in the list."""
+    """The category with most points for keywords in a text; the first of equal ones. Logik has its point from the start."""
     low = F.lower(code)
     scores = []
-    for i, (name, words) in enumerate(keywords):
-        hits = F.lit(1 if name == "Logik" else 0)
+    for i, (name, points, words) in enumerate(keywords):
+        hits = F.lit(0)
         for w in words:
-            hits = hits + F.when(low.contains(w), 2 if len(w) > 4 else 1).otherwise(0)
-        # a lone hit of Config ties with Logik's base and loses
-        hits = F.when(hits == 1, F.lit(0.5)).otherwise(hits.cast("double")) if name == "Config" else hits.cast("double")
+            hits = hits + F.when(F.contains(low, F.lit(w)), points).otherwise(0)
         scores.append(F.struct(hits.alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("name")))
     return F.array_max(F.array(*scores))["name"]
 
 
+def functional_name(code: Column, start_line: Column) -> Column:
+    """The first function's name, else the block's place."""
+    name = F.regexp_extract(code, FUNCTION_HEAD, 1)
+    return F.when(name != "", name).otherwise(F.concat(F.lit("block_"), start_line.cast("string")))
+
+
 def turbulence(rows: DataFrame, file: str = "file", order: str = "pos", category: str = "category", window: int = 5) -> DataFrame:
     """rows with score: in the frame around each, changes by places between, times distinct categories by six."""
     half = window // 2
@@ -65,16 +74,38 @@ def severity(score: Column) -> Column:
     return F.when(score > 0.7, "high").otherwise("medium")
 
 
+def _prefix(name: Column, least: float) -> Column:
+    """The rarest characters of a name (each with its number) of which two names with a ratio of least share one.
+
+    A ratio of least means at least n * least / (2 - least) common characters of a name of n, so one of the first
+    n - that + 1 in any fixed order is common."""
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    n = F.size(chars)
+    numbered = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((-F.size(F.filter(F.slice(chars, F.lit(1), i), lambda c: c == F.element_at(chars, i)))).alias("k"), F.element_at(chars, i).alias("c")))
+    need = F.ceil(n * F.lit(least / (2 - least)) - 1e-9).cast("int")
+    return F.when(n == 0, F.array().cast("array<struct<k:int,c:string>>")).otherwise(F.slice(F.array_sort(numbered), F.lit(1), n - need + 1))
+
+
 def redundancies(chunks: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs of like functions of two files, from chunks(ord, file, name, code): 0.35 name + 0.65 code similarity, by difflib.
 
-    Names are blocked by their q-grams: two names with a ratio of least share three letters in a row unless they are very
-    short, and those meet by length."""
-    low = F.lower("name")
-    grams = F.when(F.length("name") < 6, F.array(F.lit("short"))).otherwise(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring(low, i, F.lit(2))))
-    keyed = chunks.withColumn("gram", F.explode(F.array_distinct(grams)))
+    Names that tell nothing are left out; of pairs with the same two (file, name) the first counts. Names are compared once
+    each, not once a chunk: those that share a character of their prefixes and have lengths that allow the ratio. Chunks with
+    one name meet by that name. The pairs themselves are the result, and as many as there are.
+    """
+    named = chunks.where(F.col("name").isNotNull() & (F.col("name") != "") & ~F.col("name").isin(*NAMELESS))
+    for start in NAMELESS_START:
+        named = named.where(~F.col("name").startswith(start))
+    named = named.withColumn("low", F.lower("name"))
+    names = named.select("low").distinct()
+    keyed = names.select("low", F.length("low").alias("len"), F.explode(_prefix(F.col("low"), least)).alias("t"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, "gram").where("a.ord < b.ord AND a.file <> b.file").select("a.ord", F.col("b.ord").alias("other"), F.col("a.name").alias("n1"), F.col("b.name").alias("n2"), F.col("a.code").alias("c1"), F.col("b.code").alias("c2")).distinct()
-    named = pairs.withColumn("name_score", sequence_ratio("n1", "n2")).where(F.col("name_score") >= least)
-    code = sequence_ratio(F.substring("c1", 1, 600), F.substring("c2", 1, 600))
-    return named.select("ord", "other", F.round(0.35 * F.col("name_score") + 0.65 * code, 3).alias("score"))
+    near = a.join(b, F.col("a.t") == F.col("b.t")).where(f"a.low <> b.low AND a.len >= b.len * {least / (2 - least)} - 1e-9 AND b.len >= a.len * {least / (2 - least)} - 1e-9")
+    near = near.select(F.col("a.low").alias("n1"), F.col("b.low").alias("n2")).distinct().withColumn("name_score", sequence_ratio("n1", "n2")).where(F.col("name_score") >= least)
+    alike = near.union(names.select(F.col("low").alias("n1"), F.col("low").alias("n2"), F.lit(1.0).alias("name_score")))
+    left = named.select("ord", F.col("file").alias("f1"), F.col("name").alias("m1"), F.col("low").alias("n1"), F.lower(F.substring("code", 1, 600)).alias("c1"))
+    right = named.select(F.col("ord").alias("other"), F.col("file").alias("f2"), F.col("name").alias("m2"), F.col("low").alias("n2"), F.lower(F.substring("code", 1, 600)).alias("c2"))
+    pairs = left.join(alike, "n1").join(right, "n2").where("ord < other AND f1 <> f2")
+    one, two = F.concat_ws(":", F.col("f1").cast("string"), "m1"), F.concat_ws(":", F.col("f2").cast("string"), "m2")
+    first = pairs.groupBy(F.least(one, two).alias("k1"), F.greatest(one, two).alias("k2")).agg(F.min_by(F.struct("ord", "other", "name_score", "c1", "c2"), F.struct("ord", "other")).alias("p")).select("p.*")
+    return first.select("ord", "other", F.round(0.35 * F.col("name_score") + 0.65 * sequence_ratio("c1", "c2"), 2).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
@@ -107,15 +107,15 @@ def shared_type_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n) AS r FROM ({_LP})) WHERE r <= 10)
- SELECT a.n AS source, b.n AS target, array_to_string(list_sort(list(DISTINCT a.t::VARCHAR))[1:5], ',') AS context, 'label' AS type, 0.5::DOUBLE AS weight FROM c a JOIN c b ON a.t = b.t AND a.n < b.n GROUP BY ALL""")
+ SELECT a.n AS source, b.n AS target, list_reduce(list_sort(list(DISTINCT a.t::VARCHAR)), lambda x, y: CASE WHEN contains(x, y) THEN x ELSE x || ',' || y END) AS context, 'label_cooccurrence' AS type, round(sum(0.5::DOUBLE), 3) AS weight FROM c a JOIN c b ON a.t = b.t AND a.n < b.n GROUP BY a.n, b.n""")
 def label_cooccurrence_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shared_token_edges(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "label", 0.5, most=10)
+    return graph.merged_edges(graph.shared_token_edges(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "label_cooccurrence", 0.5, most=10))
 
 
 _TYPED = "SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS type, l_quantity AS weight, l_linestatus AS context FROM lineitem"
 
 
-@query(f"SELECT source, target, type, round(sum(weight), 3) AS weight, string_agg(DISTINCT context, ';' ORDER BY context) AS context FROM ({_TYPED}) GROUP BY source, target, type")
+@query(f"SELECT source, target, type, round(sum(weight), 3) AS weight, string_agg(DISTINCT context, ',' ORDER BY context) AS context FROM ({_TYPED}) GROUP BY source, target, type")
 def edge_dedup(spark: SparkSession, d: str) -> DataFrame:
     return graph.merged_edges(_typed(spark, d))
 
@@ -139,14 +139,14 @@ def degree_table(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(order_edges(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
-_TREE = "SELECT o_orderkey AS source, o_orderkey - 1 - (o_orderkey % 3) AS target FROM orders WHERE o_orderkey % 40 > 3"
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT source AS u, target AS v FROM ({_TREE}) UNION SELECT target, source FROM ({_TREE})),
- r(u, c) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.u) SELECT u AS id, min(c) AS component FROM r GROUP BY u""")
+@query("""WITH g AS (SELECT o_orderkey, o_custkey, CASE WHEN date_diff('day', lag(o_orderdate) OVER w, o_orderdate) <= 180 THEN 0 ELSE 1 END AS fresh, row_number() OVER w AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+ i AS (SELECT *, sum(fresh) OVER (PARTITION BY o_custkey ORDER BY r ROWS UNBOUNDED PRECEDING) AS n FROM g)
+ SELECT o_orderkey AS id, min(o_orderkey) OVER w AS component FROM i WINDOW w AS (PARTITION BY o_custkey, n) QUALIFY count(*) OVER w > 1""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return graph.components(table(spark, d, "orders").where(k % 40 > 3).select(k.alias("source"), (k - 1 - k % 3).alias("target")))
+    """A customer's orders hang together where the next comes within 180 days."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("source"), F.lag("o_orderkey").over(w).alias("target"), F.datediff("o_orderdate", F.lag("o_orderdate").over(w)).alias("days"))
+    return graph.components(rows.where("days <= 180").select("source", "target"))
 
 
 @query(f"""SELECT (SELECT count(DISTINCT s_nationkey) FROM supplier) AS clusters, (SELECT count(*) FROM (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) = 1)) AS singletons,
@@ -176,10 +176,16 @@ def louvain_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def redundant_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Like suppliers' names of two nations, by difflib."""
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_nationkey").alias("file"), F.col("s_name").alias("name"), F.col("s_name").alias("code"))
-    return turbulence.redundancies(rows.where("ord <= 40"), 0.9)
+def redundant_names(spark: SparkSession, d: str) -> DataFrame:
+    """Like names of parts among different brands, each name of a brand once."""
+    rows = table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("ord"))
+    return turbulence.redundancies(rows.select("ord", F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_name").alias("code")), 0.9)
+
+
+@query("SELECT l_suppkey AS source, l_partkey AS target, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL HAVING count(*) > 1")
+def repeated_edges(spark: SparkSession, d: str) -> DataFrame:
+    rows = _typed(spark, d).where("type = 'R'").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    return rows.where("n > 1")
 
 
 @query("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")

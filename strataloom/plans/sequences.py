@@ -117,7 +117,7 @@ def decay_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", transitions.decay_score(age, F.col("event_type") == "purchase", F.col("user_id") % 5).alias("score"))
 
 
-@query("""SELECT id, topic, min(pos) AS pos FROM (SELECT doc_id AS id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS w FROM documents))
+@query("""SELECT id, topic, min(pos) AS pos FROM (SELECT doc_id AS id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_-]+)', 1), lambda x: trim(x, '-')), lambda x: regexp_matches(x, '^[a-z][a-z0-9_-]{2,}$')) AS w FROM documents))
  JOIN (VALUES ('and', 'joining'), ('or', 'joining'), ('the', 'naming'), ('le', 'naming'), ('der', 'naming')) i(word, topic) USING (word) GROUP BY id, topic""")
 def topics_of_texts(spark: SparkSession, d: str) -> DataFrame:
     index = spark.createDataFrame([("and", "joining"), ("or", "joining"), ("the", "naming"), ("le", "naming"), ("der", "naming")], "word string, cluster string")
@@ -127,19 +127,19 @@ def topics_of_texts(spark: SparkSession, d: str) -> DataFrame:
 RULES = [("feed", ["re:utm_source=feed"]), ("html", ["*.html"]), ("german", ["**/de/**"]), ("query", ["re:[?]"])]
 
 
-@query("""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)utm_source=feed') THEN 'feed' WHEN regexp_matches(url, '(?i)(^|/)[^/]*[.]html$') THEN 'html' WHEN regexp_matches(url, '(?i)(^|/)(.*/)?de/.*?$') THEN 'german'
+@query("""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)utm_source=feed') THEN 'feed' WHEN regexp_matches(url, '(?i)[.]html$') THEN 'html' WHEN regexp_matches(url, '(?i)de/.*$') THEN 'german'
  WHEN regexp_matches(url, '[?]') THEN 'query' ELSE 'uncategorized' END AS category FROM pages""")
 def rule_categorize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", globs.categorize(F.col("url"), RULES).alias("category"))
 
 
-@query("SELECT page_id, url FROM pages WHERE NOT (regexp_matches(url, '(?i)(^|/)[^/]*[.]html$') OR regexp_matches(url, '(?i)#top'))")
+@query("SELECT page_id, url FROM pages WHERE NOT (regexp_matches(url, '(?i)[.]html$') OR regexp_matches(url, '(?i)#top'))")
 def glob_exclude(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where(~globs.matches(F.col("url"), ["*.html", "re:#top"])).select("page_id", "url")
 
 
 def _igio_sql() -> str:
-    case = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{a}:{c}'" for a, c, p in T.IGIO_RULES)
+    case = " ".join(f"WHEN regexp_matches(text, '(?i{m}){p}') THEN '{a}:{c}'" for a, c, m, p in T.IGIO_RULES)
     return f"SELECT doc_id, split_part(x, ':', 1) AS axis, coalesce(try_cast(split_part(x, ':', 2) AS DOUBLE), 0.0) AS confidence FROM (SELECT doc_id, CASE {case} ELSE '' END AS x FROM documents)"
 
 
@@ -165,13 +165,12 @@ def plausible_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("plausible", T.plausible_label(F.col("label")))
 
 
-@query("""SELECT doc_id, 'section' AS level, i - 1 AS ordinal, trim(regexp_extract(part, '^#{1,3}\\s+([^\\n]*)', 1)) AS name, part AS text FROM (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM
- (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: '## ' || x || chr(10)) AS p FROM documents WHERE NOT regexp_matches(text, '(^|\\n)\\s*(\\n|$)') AND NOT regexp_matches(text, '(^|\\n)#')))""")
+@query("""SELECT doc_id, 'section' AS level, i - 1 AS ordinal, trim('L ' || part) AS name, regexp_replace('## L ' || part, '\\s+$', '') AS text FROM
+ (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))""")
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """documents have no headings: each line becomes one here, where none is blank."""
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(^|\n)\s*(\n|$)") & ~F.col("text").rlike(r"(^|\n)#"))
-    body = F.concat(F.lit("## "), F.regexp_replace("text", "\n", "\n## "), F.lit("\n"))
-    got = chunkers.markdown_chunks(docs.select(F.col("doc_id").alias("source_id"), body.alias("text")))
+    """documents have no headings: each line becomes one here."""
+    body = F.concat(F.lit("## L "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n## L ")), F.lit("\n"))
+    got = chunkers.markdown_chunks(table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), body.alias("text")))
     return got.select(F.col("source_id").alias("doc_id"), "level", "ordinal", "name", "text")
 
 

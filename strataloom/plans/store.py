@@ -14,7 +14,7 @@ TERMS = ["erthhe", "the", "src1", "en"]
 _TOK = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1))"
 _TERMS = "['erthhe', 'the', 'src1', 'en']"
 _SYM = f"""least(1.0, len(list_intersect({_TERMS}, {_TOK})) / 4.0
- + CASE WHEN len(list_filter({_TERMS}, lambda t: contains(lower(source), t))) > 0 THEN 0.2 ELSE 0.0 END + CASE WHEN list_contains({_TERMS}, lang) THEN 0.1 ELSE 0.0 END)"""
+ + CASE WHEN len(list_filter({_TERMS}, lambda t: contains(lower(source), t))) > 0 THEN 0.2 ELSE 0.0 END + CASE WHEN len(list_intersect({_TERMS}, regexp_extract_all(lower(lang), '([a-z0-9]+)', 1))) > 0 THEN 0.1 ELSE 0.0 END)"""
 _SIGNALS = "SELECT doc_id AS chunk_id, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS signal FROM labels UNION ALL SELECT doc_id, 'neutral' FROM labels WHERE toxic = 1"
 _FB = f"SELECT chunk_id, greatest(0.0, least(1.0, sum(CASE signal WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END) / count(*) * 0.5 + 0.5)) AS feedback_score FROM ({_SIGNALS}) GROUP BY chunk_id"
 
@@ -121,32 +121,37 @@ def category_pairs(spark: SparkSession, d: str) -> DataFrame:
     return training.category_pairs(c, ratings)
 
 
-@query("""WITH r AS (SELECT doc_id, source, substr(text, 1, 500) AS part, coalesce(CASE WHEN quality = 1 THEN 1.0 WHEN quality = 0 THEN -1.0 END, 0.0) AS rating FROM documents LEFT JOIN labels USING (doc_id)),
- w AS (SELECT *, sum(length(part)) OVER (PARTITION BY source ORDER BY rating DESC, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM r)
- SELECT source AS source_id, round(avg(rating), 6) AS avg_rating, count(*) AS chunks, coalesce(string_agg(part, chr(10) || chr(10) ORDER BY rating DESC, doc_id) FILTER (run <= 3000), '') AS context FROM w GROUP BY source""")
+@query("""WITH r AS (SELECT doc_id, source, lang, substr(coalesce(text, ''), 1, 500) AS part, CASE WHEN quality = 1 THEN 1.0 WHEN quality = 0 THEN -1.0 END AS rating FROM documents LEFT JOIN labels USING (doc_id)),
+ w AS (SELECT *, sum(length(part)) OVER (PARTITION BY source ORDER BY coalesce(rating, 0) DESC, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM r WHERE part <> ''),
+ c AS (SELECT source, string_agg('### [file] ' || split_part(source, '/', -1) || chr(10) || part, chr(10) || chr(10) ORDER BY coalesce(rating, 0) DESC, doc_id) AS context FROM w WHERE run <= 3000 GROUP BY source),
+ a AS (SELECT source, round(coalesce(avg(rating), 0), 6) AS avg_rating, count(*) AS chunks, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS l, count(DISTINCT lang) AS n FROM r GROUP BY source)
+ SELECT source AS source_id, avg_rating, chunks, context, '<memory_context>' || chr(10) || context || chr(10) || '</memory_context>' || chr(10) || chr(10) || 'Aufgabe: Analysiere den Code in `' || source || '` (Kategorien: ' || l || ') und beschreibe die Hauptverantwortlichkeiten.' AS prompt,
+ 'Der Memory-Kontext für `' || source || '` enthält ' || chunks || ' Chunk(s) über ' || n || ' Kategorie(n). Erkannte Labels: ' || l || '.' AS completion FROM a JOIN c USING (source)""")
 def context_pairs(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).withColumns({"source_id": F.col("repo"), "ordinal": F.lit(0)})
+    c = chunks(spark, d).withColumns({"source_id": F.col("repo"), "chunk_level": F.lit("file")})
     ratings = feedback(spark, d).where("signal <> 'neutral'")
-    return training.context_pairs(c, ratings)
+    return training.context_pairs(c, ratings).drop("labels")
 
 
-@query("""SELECT doc_id, least(5, 2 + CASE WHEN n_chars / 10000.0 >= 0.7 THEN 1 ELSE 0 END)::VARCHAR AS signal FROM documents ANTI JOIN labels USING (doc_id)""")
+@query("""SELECT doc_id, CASE WHEN lang <> 'en' AND n_chars <= 1000 THEN '5' WHEN lang <> 'en' OR n_chars <= 1000 THEN '4' ELSE '2' END AS signal FROM documents ANTI JOIN labels USING (doc_id)""")
 def auto_feedback(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).withColumns({"chunk_level": F.lit("file"), "quality_score": F.col("size") / 10000.0})
+    """Languages but English count as labels, short texts as functions."""
+    labels = F.when(F.col("workspace_id") == "en", F.array().cast("array<string>")).otherwise(F.col("category_labels"))
+    c = chunks(spark, d).withColumns({"category_labels": labels, "chunk_level": F.when(F.col("size") <= 1000, "function").otherwise("file"), "quality_score": F.col("size") / 10000.0})
     return training.auto_feedback(c, feedback(spark, d)).withColumnRenamed("chunk_id", "doc_id")
 
 
-@query("""SELECT DISTINCT h AS prompt_hash FROM (SELECT sha256(role || chr(10) || text)[1:16] AS h, conv_id FROM conversations) WHERE h NOT IN (SELECT sha256(role || chr(10) || text)[1:16] FROM conversations WHERE conv_id <= 10)""")
+@query("""SELECT DISTINCT h AS prompt_hash FROM (SELECT sha256(role || chr(10) || text)[1:16] AS h FROM conversations) WHERE h NOT IN (SELECT sha256(role || chr(10) || text)[1:16] FROM conversations WHERE turn = 0)""")
 def batch_export_diff(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").select("conv_id", F.col("role").alias("system"), F.col("text").alias("user"))
-    done = turns.where("conv_id <= 10").select(training.prompt_hash(F.col("system"), F.col("user")).alias("prompt_hash"))
+    turns = table(spark, d, "conversations").select("turn", F.col("role").alias("system"), F.col("text").alias("user"))
+    done = turns.where("turn = 0").select(training.prompt_hash(F.col("system"), F.col("user")).alias("prompt_hash"))
     return training.export_diff(turns, done).select("prompt_hash")
 
 
-@query("""WITH a AS (SELECT doc_id AS prompt_hash, lang AS label, 0 AS p FROM documents WHERE doc_id <= 100), b AS (SELECT doc_id AS prompt_hash, CASE WHEN toxic = 1 THEN 'skip' ELSE 'good' END AS label, 1 AS p FROM labels WHERE toxic = 0 AND quality >= 0.5)
+@query("""WITH a AS (SELECT doc_id AS prompt_hash, lang AS label, 0 AS p FROM documents WHERE lang = 'en'), b AS (SELECT doc_id AS prompt_hash, CASE WHEN toxic = 1 THEN 'skip' ELSE 'good' END AS label, 1 AS p FROM labels WHERE toxic = 0 AND quality >= 0.5)
  SELECT prompt_hash, label FROM (SELECT *, row_number() OVER (PARTITION BY prompt_hash ORDER BY p, label) AS n FROM (FROM a UNION ALL FROM b)) WHERE n = 1""")
 def merge_annotations(spark: SparkSession, d: str) -> DataFrame:
-    old = table(spark, d, "documents").where("doc_id <= 100").select(F.col("doc_id").alias("prompt_hash"), F.col("lang").alias("label"))
+    old = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("prompt_hash"), F.col("lang").alias("label"))
     new = table(spark, d, "labels").select(F.col("doc_id").alias("prompt_hash"), F.when(F.col("toxic") == 1, "skip").alias("label"), F.col("quality").cast("double").alias("quality"))
     return dedup.merge_annotations(old, [new]).select("prompt_hash", "label")
 

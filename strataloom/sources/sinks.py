@@ -1,103 +1,10 @@
-"""Writes to plain Parquet tables: keyed upserts, appends, soft deletes, each one atomic swap of a table version.
-
-A table is a folder of versions; a small pointer file names the current one, so readers see whole versions only and a failed
-write leaves the old one. All folder work goes through Hadoop's file system, so any store that Spark reaches will do.
-"""
+"""Writes that are more than a table's own: merges of nodes and caches, exports of findings and log lines."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import fields
-
-
-class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ()):
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def version(self) -> str | None:
-        jvm, fs = self._fs()
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
-
-    def read(self) -> DataFrame:
-        now = self.version()
-        if now is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{now}")
-
-    def overwrite(self, df: DataFrame) -> None:
-        """Write a new version, then swap the pointer."""
-        jvm, fs = self._fs()
-        name = f"v-{uuid.uuid4().hex}"
-        df.select(*[f.name for f in fields(self.schema)]).write.parquet(f"{self.path}/{name}")
-        path = jvm.org.apache.hadoop.fs.Path
-        fresh = path(f"{self.path}/.CURRENT-{name}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        old = self.version()
-        fs.delete(path(f"{self.path}/CURRENT"), False)
-        fs.rename(fresh, path(f"{self.path}/CURRENT"))
-        if old:
-            fs.delete(path(f"{self.path}/{old}"), True)
-
-    def append(self, rows: DataFrame) -> None:
-        self.overwrite(self.read().unionByName(rows, allowMissingColumns=True))
-
-    def append_new(self, rows: DataFrame) -> None:
-        """Append the rows whose key is not there yet, each key once."""
-        fresh = rows.dropDuplicates(list(self.keys)).join(self.read().select(*self.keys), list(self.keys), "left_anti")
-        self.append(fresh)
-
-    def upsert(self, rows: DataFrame, update: tuple[str, ...] | None = None, order: Column | None = None) -> None:
-        """Insert or update by key. update: the columns that a known key takes over (all by default); of several rows for one
-        key the last by order counts."""
-        self.overwrite(upserted(self.read(), rows, self.keys, update, order))
-
-    def update(self, where: Column, **values: Column) -> int:
-        """Set columns where a condition holds; returns the number of rows."""
-        now = self.read()
-        n = now.where(where).count()
-        self.overwrite(now.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()}))
-        return n
-
-    def delete(self, where: Column) -> int:
-        now = self.read()
-        n = now.where(where).count()
-        self.overwrite(now.where(~F.coalesce(where, F.lit(False))))
-        return n
-
-
-def upserted(old: DataFrame, new: DataFrame, keys: tuple[str, ...], update: tuple[str, ...] | None = None, order: Column | None = None) -> DataFrame:
-    """One full join by key: known keys keep what is not updated, new ones come whole."""
-    if order is not None:
-        others = [c for c in new.columns if c not in keys]
-        new = new.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_r")).select(*keys, "_r.*")
-    else:
-        new = new.dropDuplicates(list(keys))
-    changed = set(update if update is not None else [c for c in new.columns if c not in keys])
-    o, n = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
-    both = o.join(n, list(keys), "full")
-
-    def pick(c: str) -> Column:
-        if c not in new.columns:
-            return F.col(f"o.{c}")
-        fresh = F.col("_new") if c in changed else F.col("_new") & F.col("_old").isNull()
-        return F.when(F.coalesce(fresh, F.lit(False)), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
-
-    return both.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in old.columns])
-
 
 def merged_node(old: DataFrame, new: DataFrame) -> DataFrame:
     """Node upsert that keeps what the new row leaves empty."""

@@ -59,13 +59,24 @@ def turn_batches(turns: DataFrame, count: int = 10, wait_ms: int = 120_000) -> D
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False, summarise: Callable[[DataFrame], DataFrame] | None = None):
-    """Each micro-batch as its own folder by number, which a repeated one overwrites: exactly once on any store."""
+    """Each micro-batch as its own folder by number, which a repeated one overwrites: exactly once on any store.
+
+    available_now reads what is there and ends; turns that wait for more stay in the state until the next run. Batches without
+    data are off then: with a processing-time timeout Spark would run them for ever."""
 
     def put(batch: DataFrame, n: int) -> None:
         (summarise(batch) if summarise else batch).write.mode("overwrite").parquet(f"{path}/micro={n}")
 
     writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
+    if not available_now:
+        return writer.trigger(processingTime="30 seconds").start()
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 10) -> DataFrame:

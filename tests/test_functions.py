@@ -63,20 +63,22 @@ def test_signal_score(spark, s, want):
 def test_density_and_words(spark):
     assert value(spark, T.code_density, "") == 0
     assert value(spark, T.code_density, "```\nx = 1\n```") == 1
-    assert value(spark, T.natural_words, "Die Größe zählt ```def f(): pass``` ok") == 3
+    assert value(spark, T.natural_words, "Die Größe zählt\n```\ndef f(): pass\n```\nok\nimport foo") == 3
 
 
 def test_skip_reason(spark):
     talk = F.lit("conversation_summary")
     assert value(spark, lambda c: T.skip_reason(c, talk), "short") == "too_short"
     assert value(spark, lambda c: T.skip_reason(c, F.lit("repo_file")), "short") == ""
-    assert value(spark, lambda c: T.skip_reason(c, talk), "@@ -1 +1 @@\n" + "word " * 30) == "diff"
+    assert value(spark, lambda c: T.skip_reason(c, talk), "@@ -1,2 +1,3 @@\n" + "word " * 30) == "diff_output"
+    assert value(spark, lambda c: T.skip_reason(c, talk), "import os\n" * 20) == "code_density=1.00 words=0"
     assert value(spark, lambda c: T.skip_reason(c, talk), "plain words of talk " * 10) == ""
 
 
 def test_igio(spark):
-    assert tuple(value(spark, T.igio_axis, "12 passed")) == ("outcome", 0.9)
-    assert tuple(value(spark, T.igio_axis, "Traceback (most recent)")) == ("issue", 0.9)
+    assert tuple(value(spark, T.igio_axis, "12 passed")) == ("outcome", 0.92)
+    assert tuple(value(spark, T.igio_axis, "Traceback (most recent call last)")) == ("issue", 0.95)
+    assert tuple(value(spark, T.igio_axis, "x\n## Plan")) == ("intervention", 0.75)
     assert tuple(value(spark, T.igio_axis, "nothing here")) == ("", 0.0)
 
 
@@ -105,3 +107,25 @@ def test_small_yaml():
 def test_tree_paths():
     tree = "root/\n├── src/\n│   ├── a.py\n│   └── b.py\n└── README.md"
     assert readers.tree_paths(tree) == ["src/a.py", "src/b.py", "README.md"]
+
+
+def test_axis_verdict(spark):
+    got = lambda raw: (lambda r: r and (r.axis, round(r.confidence, 3), r.rationale))(value(spark, T.axis_verdict, raw))
+    assert got('so: {"axis": "Goal", "confidence": 1.7, "rationale": "r"}') == ("goal", 1.0, "r")
+    assert got('```json\n{"axis": "tests", "confidence": 0.5}\n```') == ("outcome", 0.4, "")
+    assert got('{"axis": "weather", "confidence": 1}') is None and got("none") is None and got("{broken}") is None
+
+
+def test_findings(spark):
+    good = '{"datei": "a", "zeile": "3", "typ": "t", "begründung": "b", "empfehlung": "e"}'
+    got = value(spark, T.extracted_findings, f'x ```json\n{{"findings": [{good}, {{"datei": "a"}}]}}\n```')
+    assert [(r.type, r.line_hint, r.evidence_excerpt) for r in got] == [("t", "3", "b")]
+    ask = lambda *a: value(spark, T.finding_query, *a)
+    assert ask("redundanz", "see def load(x)", "a/b.py", "api") == "Funktion load ähnliche Implementierung"
+    assert ask("zombie_code", "none", "a/b.py", "api") == "Aufruf b Referenz"
+    assert ask("other", "", "", "") == "[uncategorized] unknown"
+
+
+def test_path_labels(spark):
+    assert value(spark, T.path_labels, "src/api/x.py") == ["api"] and value(spark, T.path_labels, "x/test_y.py") == ["tests"] and value(spark, T.path_labels, "zz") == []
+    assert value(spark, T.file_label, "a/x.go") == "Go" and value(spark, T.file_label, "a/x_test.go") == "Test"

@@ -25,19 +25,22 @@ def test_failed_call_is_neutral(spark):
 
 def test_categories(spark):
     def call(prompts):
-        return ["Kategorien: api, [neu]queue, aaaaaaa" if "x" in p else "" for p in prompts]
+        return ["1. thought\nKategorien: API, [neu]queue, aaaaaaa, [neu]api" if "x" in p else "" for p in prompts]
 
-    rows = spark.createDataFrame([("x", "src/a.py"), ("y", "docs/a.md"), ("x", "tests/test_a.py")], "text string, path string")
-    run = lambda mode: {r.path: (r.category_labels, r.category_source) for r in models.categorized(rows, ["api"], F.col("text"), F.col("path"), models.Model(reply=call), mode).collect()}
-    assert run("hybrid") == {"src/a.py": (["api", "[neu]queue"], "model"), "docs/a.md": (["docs"], "fallback"), "tests/test_a.py": (["test"], "rule")}
-    assert run("deductive")["src/a.py"] == (["api"], "model")
+    rows = spark.createDataFrame([("x", "src/a.py"), ("y", "src/db/a.py"), ("x", "tests/test_a.py"), ("y", "zz")], "text string, path string")
+    run = lambda mode: {r.path: (r.category_labels, r.category_source, r.category_confidence) for r in models.categorized(rows, ["api", "tests"], F.col("text"), F.col("path"), models.Model(reply=call), mode).collect()}
+    got = run("hybrid")
+    assert got["src/a.py"] == (["api", "[neu]queue", "api"], "hybrid", 1.0) and got["tests/test_a.py"][0] == ["api", "[neu]queue", "api", "tests"]
+    assert got["src/db/a.py"] == (["data_access"], "fallback", 0.5) and got["zz"] == ([], "fallback", 0.0)
+    assert run("deductive")["src/a.py"][0] == ["api"]
+    assert run("inductive")["src/a.py"][0] == ["API", "[neu]queue", "aaaaaaa", "[neu]api"]
 
 
 def test_views_and_advice(spark):
     rows = spark.createDataFrame([("s", "c", "One. Two.")], "source_id string, chunk_id string, text string")
     assert [r.level for r in models.views(rows).orderBy("ordinal").collect()] == ["view_facts", "view_decisions", "view_entities", "view_keywords", "view_full"]
     assert models.advice(rows, "q").first().advice == 0.5
-    assert models.advice(rows, "q", models.Model(reply=lambda p: ["0.7 good"] * len(p))).first().advice == 0.7
+    assert models.advice(rows, "q", models.Model(reply=lambda p: [" 0.7 "] * len(p))).first().advice == 0.7
 
 
 def test_reports(spark):

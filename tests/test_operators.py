@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import chunkers, dedup, diff, feedback, graph, metrics, retrieval, training, turbulence
-from strataloom.sources import readers, sinks
+from strataloom.sources import readers
+from strataloom.sources.tables import upserted
 from strataloom.streaming import jobs
 
 
@@ -25,8 +26,9 @@ def test_compressed_context(spark):
     rows = [("c1", "s1", 0.9, "x" * 200, ""), ("c2", "s1", 0.8, "y", ""), ("c3", "s2", 0.7, "z" * 600, "short summary")]
     df = spark.createDataFrame(rows, "chunk_id string, source_id string, score_final double, text string, summary string")
     text = retrieval.compressed(df, 400).first().context
-    assert "x" * 200 in text and "short summary" in text and "y" not in text.replace("summary", "")
+    assert text == "## Memory Context\n\n- [?] s1\n  " + "x" * 187 + "...\n- [?] s2\n  short summary"
     assert len(text) <= 400
+    assert retrieval.compressed(df, 20).first().context == ""
 
 
 def test_recency(spark):
@@ -66,7 +68,9 @@ def test_heuristic_category_ties(spark):
     got = lambda code: spark.createDataFrame([(code,)], "c string").select(turbulence.heuristic_category(F.col("c"))).first()[0]
     assert got("plain") == "Logik"
     assert got("env") == "Logik"
-    assert got("SELECT x FROM table query") == "Daten"
+    assert got("return [") == "Logik"
+    assert got("$a->save(); User::find(1)") == "Daten"
+    assert got("an agent") == "KI"
 
 
 def test_graph(spark):
@@ -76,8 +80,8 @@ def test_graph(spark):
     got = graph.communities([*clique([1, 2, 3, 4]), *clique([5, 6, 7, 8]), (4, 5, 1.0)])
     assert {got[n] for n in (1, 2, 3, 4)} == {1} and {got[n] for n in (5, 6, 7, 8)} == {5}
     files = spark.createDataFrame([("app/user_service.py",), ("app/service.py",), ("tests/test_service.py",)], "file string")
-    deps = spark.createDataFrame([("x.py", "service"), ("x.py", "pkg.my_user_service"), ("x.py", "zz")], "file string, dep string")
-    assert sorted((r.context, r.target) for r in graph.resolved_imports(files, deps).collect()) == [("pkg.my_user_service", "app/user_service.py"), ("service", "app/service.py")]
+    deps = spark.createDataFrame([("x.py", "service"), ("x.py", "pkg\\\\my_user_service::run"), ("x.py", "zz")], "file string, dep string")
+    assert sorted((r.context, r.target) for r in graph.resolved_imports(files, deps).collect()) == [("pkg\\\\my_user_service::run", "app/user_service.py"), ("service", "app/service.py")]
     assert [(r.source, r.target) for r in graph.coverage_edges(files).collect()] == [("tests/test_service.py", "app/service.py")]
 
 
@@ -97,7 +101,7 @@ def test_python_and_js_chunks(spark):
     py = "import os\n\n@wrap\ndef f(x):\n    return x\n\nclass A:\n    def g(self): pass\n"
     assert [(p[0], p[2]) for p in chunkers.python_pieces(py)] == [("function", "f"), ("class", "A")]
     assert chunkers.python_pieces("def (") == []
-    js = "function a() { if (1) { x() } }\nconst b = (y) => { return y }\nclass C { m() {} }"
+    js = "function a() { if (1) { x() } }\nconst b = (y) => { return y }\nexport class C { m() {} }"
     assert [(p[0], p[2]) for p in chunkers.js_pieces(js)] == [("function", "a"), ("function", "b"), ("class", "C")]
     docs = spark.createDataFrame([("s", "a.py", py), ("t", "b.md", "no head"), ("u", "c.yaml", "a: 1\nb:\n  c: 2\n"), ("v", "x.py", None)], "source_id string, filename string, text string")
     got = {}
@@ -110,7 +114,7 @@ def test_markdown_and_paper(spark):
     docs = spark.createDataFrame([("m", "before\n# One\ntext\n## Two\nmore\n#### not\n")], "source_id string, text string")
     assert [(r.ordinal, r.name) for r in chunkers.markdown_chunks(docs).orderBy("ordinal").collect()] == [(0, "One"), (1, "Two")]
     paper = spark.createDataFrame([("p", "Title\nAbstract\nshort\n1 Introduction\nlong\nConclusion\nend")], "source_id string, text string")
-    assert [r.level for r in chunkers.paper_chunks(paper).orderBy("ordinal").collect()] == ["front", "abstract", "introduction", "conclusion"]
+    assert [r.level for r in chunkers.paper_chunks(paper).orderBy("ordinal").collect()] == ["abstract", "1", "conclusion"]
     keys = spark.createDataFrame([("j", '{"b": 1, "a": {"x": 2}}'), ("k", "[1]")], "source_id string, text string")
     assert [r.name for r in chunkers.json_chunks(keys).orderBy("ordinal").collect()] == ["a", "b"]
 
@@ -118,7 +122,51 @@ def test_markdown_and_paper(spark):
 def test_smart_split():
     text = "".join(f"def f{i}():\n    return {i}\n\n" for i in range(60)) + "def check_password():\n    return 1\n"
     got = chunkers.smart_split(text, "a.py", 300)
-    assert got["split"] and "check_password" in got["kept"] and len(got["text"]) <= 320
+    assert len(got["blocks"]) == 61 and got["selected"][-1]["name"] == "check_password" and sum(len(b["text"]) for b in got["selected"]) <= 300
+    assert got["skipped_summary"].startswith("Skipped (")
+    assert chunkers.smart_split("x" * 500, "a.txt", 100)["selected"][0]["text"] == "x" * 100
+    assert chunkers.block_pieces("a\n" * 30)[0] == (1, 15, "\n".join("a" * 15))
+    assert [p[:2] for p in chunkers.block_pieces("x\n" * 12 + "def f():\n" + "y\n" * 20)] == [(1, 12), (13, 27), (28, 33)]
+
+
+def test_redundancies(spark):
+    """Against all pairs by difflib; the first of pairs with the same files and names counts."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    names = ["load_user", "load_users", "loadUser", "save_user", "x", "xy", "parse", "block_1", "render_page", "renderPages", "ä_ö", "nicht_erkannt"]
+    rows = [(i, rng.choice("abc"), rng.choice(names), "code of " + rng.choice(names)) for i in range(40)]
+    want, seen = {}, set()
+    for i, f, n, c in rows:
+        for j, g, m, e in rows:
+            key = tuple(sorted((f"{f}:{n}", f"{g}:{m}")))
+            if i >= j or f == g or key in seen or {n, m} & {"block_1", "nicht_erkannt"}:
+                continue
+            seen.add(key)
+            name = SequenceMatcher(None, n.lower(), m.lower()).ratio()
+            if name >= 0.7:
+                want[i, j] = round(0.35 * name + 0.65 * SequenceMatcher(None, c.lower(), e.lower()).ratio(), 2)
+    got = {(r.ord, r.other): r.score for r in turbulence.redundancies(spark.createDataFrame(rows, "ord int, file string, name string, code string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.011 for k in want)
+
+
+def test_edges_of_papers_and_files(spark):
+    papers = spark.createDataFrame([("p", "see 10.1234/abc and (Miller et al., 2020)", ["a", "b"]), ("q", "10.1234/ABC [Lee, 2019]", ["b"]), ("r", "[Lee, 2019]", [])], "source_id string, text string, category_labels array<string>")
+    assert sorted((r.source, r.target, r.context) for r in graph.citation_edges(papers).collect()) == [("p", "q", "10.1234/abc"), ("q", "r", "lee, 2019")]
+    assert [(r.source, r.target, r.context) for r in graph.keyword_edges(papers).collect()] == [("p", "q", "b")]
+    named = spark.createDataFrame([("src/a.py", "calls src/b.py, src/a.py and src/b.py")], "filename string, text string")
+    assert [(r.source, r.target) for r in graph.mention_edges(named).collect()] == [("src/a.py", "src/b.py")]
+    fn = "array<struct<name:string,inputs:array<string>,outputs:array<string>,calls:array<string>>>"
+    files = [("store.py", "uses UserService", ["x"], []), ("main.py", "UserService; dispatch( SendJob", ["app\\MemoryStore"], [("run", [], [], ["store::get"])]), ("jobs.py", "SendJob ShouldQueue", [], [])]
+    got = graph.overview_edges(spark.createDataFrame(files, f"filename string, file_summary string, dependencies array<string>, functions {fn}"))
+    assert sorted((r.source, r.target, r.type, r.weight, r.context) for r in got.collect()) == [
+        ("main.py", "jobs.py", "event_dispatch", 0.7, "SendJob"), ("main.py", "store.py", "call", 0.9, "run"), ("main.py", "store.py", "import", 1.0, "app\\MemoryStore"), ("main.py", "store.py", "shared_type", 0.8, "UserService"),
+    ]
+    parts = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 3)], "id string, cluster int")
+    near = spark.createDataFrame([("b", 9), ("c", 9), ("d", 8)], "id string, cluster int")
+    nodes = spark.createDataFrame([(x,) for x in "abcde"], "id string")
+    assert {r.id: r.cluster for r in graph.merged_communities(parts, near, nodes).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e"}
 
 
 def test_digest(spark):
@@ -131,21 +179,10 @@ def test_digest(spark):
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id int, text string, offset int")
     new = spark.createDataFrame([(2, "B", 99), (3, "c", 30)], "id int, text string, offset int")
-    got = sorted(tuple(r) for r in sinks.upserted(old, new, ("id",), update=("text",)).collect())
+    got = sorted(tuple(r) for r in upserted(old, new, ("id",), update=("text",)).collect())
     assert got == [(1, "a", 10), (2, "B", 20), (3, "c", 30)]
 
 
-def test_versioned_table(spark, tmp_path):
-    t = sinks.VersionedTable(spark, str(tmp_path / "t"), "id INT, text STRING", ("id",))
-    assert t.read().count() == 0
-    t.append(spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string"))
-    t.append_new(spark.createDataFrame([(2, "x"), (3, "c")], "id int, text string"))
-    t.upsert(spark.createDataFrame([(1, "A")], "id int, text string"))
-    assert t.update(F.col("id") == 3, text=F.lit("C")) == 1
-    assert t.delete(F.col("id") == 2) == 1
-    assert sorted(tuple(r) for r in t.read().collect()) == [(1, "A"), (3, "C")]
-
-
 def test_chat_logs_and_stream(spark, tmp_path):
     folder = tmp_path / "p" / "ws"
     folder.mkdir(parents=True)
@@ -184,3 +221,13 @@ def test_formats(spark):
     assert (got.instruction, got.input, got.output) == ("rules", "Datei: a.py", "out")
     with pytest.raises(ValueError):
         training.formatted(log, "other")
+    rows = [("h1", "rules\n## Datei: a.py", "a long answer", "good"), ("h2", "no mark", "a long answer", "good"), ("h3", "x", "short", "good"), ("h4", "x", "a long answer", "poor")]
+    got = {r.prompt_hash: [m.content for m in r.messages] for r in training.prepared(spark.createDataFrame(rows, "prompt_hash string, prompt string, raw_response string, quality string")).collect()}
+    assert got["h1"] == ["rules", "## Datei: a.py", "a long answer"] and got["h2"][1] == "no mark" and set(got) == {"h1", "h2"}
+
+
+def test_labelled_log(spark):
+    log = spark.createDataFrame([(f, True, 1) for f in "abcd"] + [("e", False, 0), ("f", True, 0)], "filename string, parsed_ok boolean, findings_count int").withColumn("run_id", F.lit("r"))
+    said = spark.createDataFrame([("a", "confirmed"), ("a", "refined"), ("b", "rejected"), ("c", "rejected"), ("c", "confirmed")], "filename string, verdict string").withColumn("run_id", F.lit("r"))
+    got = {r.filename: r.label for r in training.labelled_log(log, said).collect()}
+    assert got == {"a": "positive", "b": "negative", "c": "candidate", "d": "candidate", "e": "negative", "f": "neutral"}
