@@ -66,7 +66,9 @@ def host_reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     suffixes = suffixes.select("suffix", ((F.col("good") + at_suffix * mean) / (F.col("n") + at_suffix)).alias("m"))
     domains = domains.join(suffixes, "suffix").select("domain", ((F.col("good") + at_domain * F.col("m")) / (F.col("n") + at_domain)).alias("m"))
     a, b = F.col("good") + at_host * F.col("m"), F.col("n") - F.col("good") + at_host * (1 - F.col("m"))
-    bound = a / (a + b) - Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    # on the scale of the arcsine a beta's spread depends on its strength alone, and a bound stays within 0 and 1
+    low = F.greatest(F.lit(0.0), F.asin(F.sqrt(a / (a + b))) - Z / (2 * F.sqrt(a + b + 1)))
+    bound = F.sin(low) * F.sin(low)
     return hosts.join(domains, "domain").select("host", "good", "n", F.round(bound, 6).alias("bound"))
 
 
@@ -109,7 +111,7 @@ suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY
 s AS (SELECT suffix, (good + k * mean) / (n + k) AS m FROM suffixes, {strength("suffixes")}),
 d AS (SELECT domain, (good + k * m) / (n + k) AS m FROM domains JOIN s USING (suffix), {strength("domains")}),
 p AS (SELECT host, good + k * m AS a, n - good + k * (1 - m) AS b FROM hosts JOIN d USING (domain), {strength("hosts")}),
-h AS (SELECT host, round(a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS bound FROM p)
+h AS (SELECT host, round(sin(low) * sin(low), 6) AS bound FROM (SELECT host, greatest(0.0, asin(sqrt(a / (a + b))) - {Z} / (2 * sqrt(a + b + 1))) AS low FROM p))
 SELECT page_id, host, path, {rule} AS rule, {says} AS verdict, bound FROM urls JOIN h USING (host)
 """
 
