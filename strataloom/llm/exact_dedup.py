@@ -80,11 +80,12 @@ def drop_copies(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 
     Texts that occur once never shuffle; the others meet by text and doc_id, so that a large group is spread over tasks.
     """
-    marked = possible_copies(docs, docs.count(), most_bits)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    marked = possible_copies(rows, docs.count(), most_bits).drop("text")
     maybe = marked.where("_maybe").drop("_maybe")
     last = maybe.groupBy("_sha256").agg(F.max("doc_id").alias("doc_id"))
     kept = maybe.join(last, ["_sha256", "doc_id"], "left_semi").dropDuplicates(["_sha256", "doc_id"])
-    return marked.where(~F.col("_maybe")).select(*docs.columns).unionByName(kept.select(*docs.columns))
+    return marked.where(~F.col("_maybe")).select("row.*").unionByName(kept.select("row.*"))
 
 
 ORACLE = """

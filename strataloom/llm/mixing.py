@@ -90,9 +90,10 @@ def mixing_weights(docs: DataFrame, targets=None, rounds: int = ROUNDS, temperat
 
 
 def sample_mixture(docs: DataFrame, targets=None, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
-    """The drawn rows of docs, with all their columns."""
-    found = _weighed(docs, targets, rounds, temperature)
-    return found.where(_draw(F.col("doc_id"), seed) < F.round("_p", 6)).select(*docs.columns)
+    """The drawn rows of docs, with all their columns, whatever their names."""
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("row"))
+    found = _weighed(rows, targets, rounds, temperature)
+    return found.where(_draw(F.col("doc_id"), seed) < F.round("_p", 6)).select("row.*")
 
 
 def oracle(documents: str = "documents", rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0) -> str:

@@ -285,4 +285,4 @@ def near_duplicates(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs of which one of each group stays, that with the smallest doc_id, with all their columns."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").cast("long") == F.col("k._kept_id"), "left_semi")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strataloom.llm import arrays, exact_dedup, near_dedup, substring_dedup, suffix_dedup
 from strataloom.llm.common import Tables
@@ -70,6 +71,9 @@ def test_near_large_group(spark, monkeypatch):
 
 def test_near_keeps_columns(spark):
     rows = [(1, "a b c d e f g h i j k"), (2, "a b c d e f g h i j k"), (3, "z")]
+    clash = frame(spark, rows).withColumns({"_kept_id": F.lit(1), "_sha256": F.lit("s"), "row": F.lit("r"), "_maybe": F.lit(False)})
+    assert near_dedup.drop_near_duplicates(clash).columns == clash.columns
+    assert sorted((r.doc_id, r.row, r._sha256) for r in exact_dedup.drop_copies(clash).collect()) == [(2, "r", "s"), (3, "r", "s")]
     kept = near_dedup.drop_near_duplicates(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "key", "rep", "lang"]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
