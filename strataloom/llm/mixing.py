@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Token counts by source, language and topic are raked until they have the wanted share of each source, each language and each
-topic; a document is then drawn with the ratio of its cell's raked to its actual tokens.
+topic; a document is then drawn with the ratio of its cell's raked to its actual tokens. mixing_weights caps that ratio at 1, as
+its SQL does; sample_mixture scales all ratios by one factor, the largest to 1, so that what is drawn has the wanted shares.
 """
 
 from __future__ import annotations
@@ -9,10 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Tables
+
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 8
+#: Raking goes on, ROUNDS at a time, until no key's share is off by more than this, or that many times.
+MISS, MOST_TURNS = 1e-6, 32
 #: Without a stated target, a key's share is its share of tokens to this power, scaled to 1.
 TEMPERATURE = 0.7
+_KEYS = [f"_{d}" for d in DIMENSIONS]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,10 +40,14 @@ def raked_cells(described: DataFrame, targets: dict[str, dict[str, float]] | Non
 
     targets: shares by key, for any of source, lang and topic; keys without one share what is left by their tempered tokens.
     """
-    keys = [f"_{d}" for d in DIMENSIONS]
-    cells = described.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0")
+    return _ratios(_raked(_targeted(described, targets, temperature), rounds))
+
+
+def _targeted(described: DataFrame, targets: dict[str, dict[str, float]] | None, temperature: float) -> DataFrame:
+    """(_source, _lang, _topic, tokens, w, _t of each key): cells with their share of tokens and the wanted shares of their keys."""
+    cells = described.groupBy(*_KEYS).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0")
     cells = cells.withColumn("w", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
-    for key, d in zip(keys, DIMENSIONS, strict=True):
+    for key, d in zip(_KEYS, DIMENSIONS, strict=True):
         stated = (targets or {}).get(d) or {}
         mine = Window.partitionBy(key)
         cells = cells.withColumn("_m", F.sum("w").over(mine))
@@ -46,16 +56,46 @@ def raked_cells(described: DataFrame, targets: dict[str, dict[str, float]] | Non
             given = F.when(F.col(key) == k, F.lit(float(v))).otherwise(given)
         cells = cells.withColumns({"_given": given, "_free": F.when(given.isNull(), F.pow("_m", F.lit(temperature)))})
         # each key once, though it stands in several cells
-        cells = cells.withColumn("_once", F.row_number().over(mine.orderBy(*keys)) == 1)
+        cells = cells.withColumn("_once", F.row_number().over(mine.orderBy(*_KEYS)) == 1)
         total = Window.partitionBy()
         cells = cells.withColumns({"_g": F.sum(F.when(F.col("_once"), F.col("_given"))).over(total), "_f": F.sum(F.when(F.col("_once"), F.col("_free"))).over(total)})
         left = F.greatest(F.lit(0.0), 1 - F.coalesce("_g", F.lit(0.0)))
         cells = cells.withColumn(f"_t{key}", F.coalesce("_given", F.col("_free") / F.col("_f") * left)).drop("_m", "_given", "_free", "_once", "_g", "_f")
+    return cells
+
+
+def _raked(cells: DataFrame, rounds: int) -> DataFrame:
     for _ in range(rounds):
-        for key in keys:
+        for key in _KEYS:
             cells = cells.withColumn("w", F.col("w") * F.col(f"_t{key}") / F.sum("w").over(Window.partitionBy(key)))
+    return cells
+
+
+def _ratios(cells: DataFrame) -> DataFrame:
     share = F.col("tokens") / F.sum("tokens").over(Window.partitionBy())
-    return cells.withColumn("ratio", F.col("w") / share).select(*keys, "tokens", "ratio")
+    return cells.withColumn("ratio", F.col("w") / share).select(*_KEYS, "tokens", "ratio")
+
+
+def _miss(cells: DataFrame) -> float:
+    """The most by which the raked share of any source, language or topic is off its wanted one."""
+    most = 0.0
+    for key in _KEYS:
+        sums = cells.groupBy(key).agg(F.sum("w").alias("w"), F.first(f"_t{key}").alias("t"))
+        whole = Window.partitionBy()
+        off = F.abs(F.col("w") / F.sum("w").over(whole) - F.col("t") / F.sum("t").over(whole))
+        most = max(most, sums.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0)
+    return most
+
+
+def _calibrated(described: DataFrame, targets, rounds: int, temperature: float) -> DataFrame:
+    """(_source, _lang, _topic, _rate): raked to convergence, all ratios scaled by one factor so that the largest is 1."""
+    tables = Tables(described.sparkSession, "mixing")
+    cells = tables.write(_targeted(described, targets, temperature), "cells")
+    for _ in range(MOST_TURNS):
+        cells = tables.write(_raked(cells, rounds), "raked")
+        if _miss(cells) <= MISS:
+            break
+    return _ratios(cells).select(*_KEYS, (F.col("ratio") / F.max("ratio").over(Window.partitionBy())).alias("_rate"))
 
 
 def _draw(doc_id: Column, seed: int) -> Column:
@@ -63,37 +103,42 @@ def _draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def _weighed(docs: DataFrame, targets, rounds: int, temperature: float) -> DataFrame:
-    described = _described(docs)
-    cells = raked_cells(described, targets, rounds, temperature)
-    keys = [f"_{d}" for d in DIMENSIONS]
+def _weighed(described: DataFrame, rates: DataFrame) -> DataFrame:
     # a cell holds any number of documents: only the small side is looked up, and a hot one is split by adaptive execution
-    found = described.join(cells.select(*keys, "ratio"), keys, "left")
-    return found.withColumn("_p", F.coalesce(F.least(F.lit(1.0), "ratio"), F.lit(1.0)))
+    return described.join(rates, _KEYS, "left").withColumn("_p", F.coalesce("_rate", F.lit(1.0)))
 
 
 def mixing_weights(docs: DataFrame, targets=None, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
     """For every row of docs(doc_id, text, lang, source, ...): doc_id, source, lang, topic, n_tokens, probability, sampled.
 
     n_tokens are the words [^\\x20\\x09-\\x0D]+ of the whole text. probability is the ratio of the raked to the actual tokens
-    of the row's source, language and topic, at most 1 (a cell that has fewer tokens than it should stays whole), rounded to
-    6 places; sampled is drawn by a hash of doc_id, so rows that repeat an id share the draw. Null texts are empty, null
-    sources and languages are the key ''; texts without words have probability 1, as they weigh nothing. An empty table gives
-    an empty result; other columns, whatever their names, are ignored.
+    of the row's source, language and topic, at most 1 (a cell that has fewer tokens than it should stays whole, so the drawn
+    rows miss the wanted shares by what is cut off; sample_mixture meets them), rounded to 6 places; sampled is drawn by a
+    hash of doc_id, so rows that repeat an id share the draw. Null texts are empty, null sources and languages are the key '';
+    texts without words have probability 1, as they weigh nothing. An empty table gives an empty result; other columns,
+    whatever their names, are ignored.
     """
     docs = docs.select("doc_id", "text", "lang", "source")
     p = F.round("_p", 6)
-    return _weighed(docs, targets, rounds, temperature).select(
+    described = _described(docs)
+    rates = raked_cells(described, targets, rounds, temperature).select(*_KEYS, F.least(F.lit(1.0), "ratio").alias("_rate"))
+    return _weighed(described, rates).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
         F.col("_tokens").alias("n_tokens"), p.alias("probability"), (_draw(F.col("doc_id"), seed) < p).alias("sampled"),
     )
 
 
 def sample_mixture(docs: DataFrame, targets=None, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
-    """The drawn rows of docs, with all their columns, whatever their names."""
+    """The drawn rows of docs, with all their columns, whatever their names; their tokens have the wanted shares, but for chance.
+
+    No row is drawn twice, so the scarcest cell is taken whole and every other one in proportion to it: of all tokens, one by the
+    largest ratio is drawn. Rows that repeat an id share the draw, and texts without words all stay. Wanted shares that no weights
+    of the cells at hand can have are come near to.
+    """
     rows = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("row"))
-    found = _weighed(rows, targets, rounds, temperature)
-    return found.where(_draw(F.col("doc_id"), seed) < F.round("_p", 6)).select("row.*")
+    described = _described(rows)
+    found = _weighed(described, _calibrated(described, targets, rounds, temperature))
+    return found.where(_draw(F.col("doc_id"), seed) < F.col("_p")).select("row.*")
 
 
 def oracle(documents: str = "documents", rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0) -> str:

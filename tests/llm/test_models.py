@@ -81,6 +81,35 @@ def test_raking(spark):
     assert 0.2 < sum(drawn) / len(drawn) < 0.4
 
 
+def test_drawn_shares(spark):
+    """The tokens of the drawn rows, not only the raked weights, have the wanted shares, though a cell's ratio is above 1."""
+    rows = [(i, "w " * (10 + i % 7), "ab"[i % 3 == 0], ["en", "de"][i % 2]) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    drawn = mixing.sample_mixture(docs, {"source": {"a": 0.2, "b": 0.8}}).collect()
+    assert len({r.doc_id for r in drawn}) == len(drawn)
+    tokens = lambda s: sum(len(r.text.split()) for r in drawn if r.source == s)
+    assert tokens("a") / (tokens("a") + tokens("b")) == pytest.approx(0.2, abs=0.02)
+    assert sum(r.source == "b" for r in drawn) == 3000
+    # a hot source and many small ones, by the default exponent
+    rows = [(i, "w w w", "hot" if i % 3 == 0 else f"s{i % 67}", "en") for i in range(20100)]
+    drawn = mixing.sample_mixture(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    want = (1 / 3) ** 0.7 / ((1 / 3) ** 0.7 + 67 * (2 / 3 / 67) ** 0.7)
+    assert sum(r.source == "hot" for r in drawn) / len(drawn) == pytest.approx(want, abs=0.01)
+
+
+def test_raking_goes_on_to_convergence(spark):
+    cells = [("a", "en", 1000), ("a", "de", 1), ("b", "en", 1), ("b", "de", 30)]
+    docs = spark.createDataFrame([(i, "w " * n, s, lang) for i, (s, lang, n) in enumerate(cells)], "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.3, "b": 0.7}, "lang": {"en": 0.6, "de": 0.4}}
+    described = mixing._described(docs)
+    assert mixing._miss(mixing._raked(mixing._targeted(described, targets, 0.7), 1)) > 0.05
+    rate = {(r._source, r._lang): r._rate for r in mixing._calibrated(described, targets, 1, 0.7).collect()}
+    drawn = {k: rate[k] * n for *k, n in cells for k in [tuple(k)]}
+    assert max(rate.values()) == 1
+    assert (drawn["a", "en"] + drawn["a", "de"]) / sum(drawn.values()) == pytest.approx(0.3, abs=1e-5)
+    assert (drawn["a", "en"] + drawn["b", "en"]) / sum(drawn.values()) == pytest.approx(0.6, abs=1e-5)
+
+
 def test_mixing_edges(spark):
     rows = [(1, None, None, None), (2, "", "s", "en"), (3, "a b", None, "en"), (3, "a b", None, "en"), (None, "c", "s", None)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, lang string, ratio string")
