@@ -179,7 +179,7 @@ def louvain_clusters(spark: SparkSession, d: str) -> DataFrame:
 def redundant_names(spark: SparkSession, d: str) -> DataFrame:
     """Like names of parts among different brands, each name of a brand once."""
     rows = table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("ord"))
-    return turbulence.redundancies(rows.select("ord", F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_name").alias("code")), 0.9)
+    return turbulence.redundancies(rows.select("ord", F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_name").alias("code")))
 
 
 @query("SELECT l_suppkey AS source, l_partkey AS target, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL HAVING count(*) > 1")

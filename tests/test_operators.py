@@ -151,6 +151,26 @@ def test_redundancies(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.011 for k in want)
 
 
+def test_redundant_names_query(spark, sf):
+    """The registered query against all pairs by difflib, from the reference's threshold of 0.7 up."""
+    from difflib import SequenceMatcher
+
+    from strataloom.plans import QUERIES
+
+    first = {}
+    for r in spark.read.parquet(f"{sf}/part.parquet").collect():
+        first[r.p_brand, r.p_name] = min(r.p_partkey, first.get((r.p_brand, r.p_name), r.p_partkey))
+    rows, want = sorted((k, *x) for x, k in first.items()), {}
+    ratio = {(x, y): SequenceMatcher(None, x.lower(), y.lower()).ratio() for x in {r[2] for r in rows} for y in {r[2] for r in rows}}
+    for i, f, n in rows:
+        for j, g, m in rows:
+            if i < j and f != g and ratio[n, m] >= 0.7:
+                want[i, j] = ratio[n, m]
+    assert any(x < 0.9 for x in want.values())
+    got = {(r.ord, r.other): r.score for r in QUERIES["redundant_names"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.011 for k in want)
+
+
 def test_edges_of_papers_and_files(spark):
     papers = spark.createDataFrame([("p", "see 10.1234/abc and (Miller et al., 2020)", ["a", "b"]), ("q", "10.1234/ABC [Lee, 2019]", ["b"]), ("r", "[Lee, 2019]", [])], "source_id string, text string, category_labels array<string>")
     assert sorted((r.source, r.target, r.context) for r in graph.citation_edges(papers).collect()) == [("p", "q", "10.1234/abc"), ("q", "r", "lee, 2019")]
