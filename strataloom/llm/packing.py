@@ -2,8 +2,7 @@
 
 A piece of n tokens costs a linear part plus attention within the piece, a * n + b * n * n. Whole lengths of a long document
 are sequences of their own; what remains of each document is dealt out in windows of some thousand documents: from the
-longest down, each goes to the sequence of least cost that has room, and is cut only where none of the cheapest has room for
-all of it. All sequences of a window get full but for less than one, whose tokens are cut into powers of two.
+longest down, each goes to the sequence of least cost that has room, and is cut only where no sequence has room for all of it. All sequences of a window get full but for less than one, whose tokens are cut into powers of two.
 
 Nothing shuffles: a window is a stretch of one scan task, so its memory is bounded and a lost task repeats exactly.
 """
@@ -11,6 +10,7 @@ Nothing shuffles: a window is a stretch of one scan task, so its memory is bound
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +26,6 @@ from .common import arrow_rows, texts
 
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 WINDOW = 4096
-TRIES = 8
 
 
 @lru_cache(maxsize=2)
@@ -34,47 +33,76 @@ def _encoder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+class _Open:
+    """Open sequences as (cost, number) by their remaining room: the cheapest with at least some room, by a tree of minima."""
+
+    def __init__(self, room: int, n: int):
+        self.size = 1 << room.bit_length()
+        self.leaves: list[list[tuple[float, int]]] = [[] for _ in range(self.size)]
+        self.least: list[tuple[float, int]] = [(math.inf, -1)] * (2 * self.size)
+        if n:
+            self.leaves[room] = [(0.0, s) for s in range(n)]
+            self._settle(room)
+
+    def _settle(self, left: int) -> None:
+        least, leaf, i = self.least, self.leaves[left], left + self.size
+        least[i] = leaf[0] if leaf else (math.inf, -1)
+        while i > 1:
+            i >>= 1
+            least[i] = min(least[2 * i], least[2 * i + 1])
+
+    def push(self, left: int, cost: float, s: int) -> None:
+        heapq.heappush(self.leaves[left], (cost, s))
+        self._settle(left)
+
+    def pop(self, need: int, left: list[int]) -> tuple[float, int] | None:
+        """The cheapest sequence with room for need, which is open no longer; left has the room of each."""
+        least, i = self.least, need + self.size
+        best = least[i]
+        while i > 1:
+            if not i & 1:
+                best = min(best, least[i + 1])
+            i >>= 1
+        if best[1] < 0:
+            return None
+        at = left[best[1]]
+        heapq.heappop(self.leaves[at])
+        self._settle(at)
+        return best
+
+
 def balance(lengths: list[int], room: int, linear: float = 1.0, quadratic: float = 1 / 512) -> list[tuple[int, int, int, int, int]]:
     """Pieces (item, start, length, sequence, offset) of items shorter than room; sequences are full or a power of two long."""
     out: list[tuple[int, int, int, int, int]] = []
     n = sum(lengths) // room
     items = [(-x, i, 0) for i, x in enumerate(lengths) if x]
     heapq.heapify(items)
-    open_ = [(0.0, s) for s in range(n)]
-    used = [0] * n
-    while items and open_:
+    open_, left, some = _Open(room, n), [room] * n, n
+    while items and some:
         size, item, start = heapq.heappop(items)
         size = -size
-        passed, best = [], None
-        while open_ and len(passed) < TRIES:
-            cost, s = heapq.heappop(open_)
-            if room - used[s] >= size:
-                best = (cost, s)
-                break
-            passed.append((cost, s))
-        if best is None:
-            best = passed.pop(0)
-        for x in passed:
-            heapq.heappush(open_, x)
-        cost, s = best
-        m = min(size, room - used[s])
-        out.append((item, start, m, s, used[s]))
-        used[s] += m
-        if used[s] < room:
-            heapq.heappush(open_, (cost + linear * m + quadratic * m * m, s))
+        # where none has room for all of it, the cheapest takes what it can
+        cost, s = open_.pop(size, left) or open_.pop(1, left)
+        m = min(size, left[s])
+        out.append((item, start, m, s, room - left[s]))
+        left[s] -= m
+        if left[s]:
+            open_.push(left[s], cost + linear * m + quadratic * m * m, s)
+        else:
+            some -= 1
         if m < size:
             heapq.heappush(items, (m - size, item, start + m))
     # less than one sequence is left: cut at the powers of two of its length
     rest = sum(-x for x, _, _ in items)
-    left, offset = 0, 0
-    while items or left:
-        if not left:
-            left, offset = 1 << (rest.bit_length() - 1), 0
+    free, offset = 0, 0
+    while items or free:
+        if not free:
+            free, offset = 1 << (rest.bit_length() - 1), 0
             n += 1
         size, item, start = heapq.heappop(items)
-        m = min(-size, left)
+        m = min(-size, free)
         out.append((item, start, m, n - 1, offset))
-        left, offset, rest = left - m, offset + m, rest - m
+        free, offset, rest = free - m, offset + m, rest - m
         if m < -size:
             heapq.heappush(items, (size + m, item, start + m))
     return out

@@ -82,6 +82,21 @@ def test_packing(spark, texts):
     assert packing.pack_sequences(frame(spark, []), path).count() == 0
 
 
+def test_cheapest_sequence_that_has_room():
+    """Against a scan of all open sequences, among them many that are cheap but nearly full."""
+    rng = random.Random(11)
+    for sizes in ([*[9] * 160, *[1000] * 3, *[500] * 24, 60, 30], [rng.choice((3, 5, 40, 90, 300, 700, 1000)) for _ in range(600)], [rng.randrange(1, 1024) for _ in range(900)]):
+        free, cost = [1024] * (sum(sizes) // 1024), [0.0] * (sum(sizes) // 1024)
+        for item, start, m, s, offset in packing.balance(sizes, 1024):
+            if not any(free):
+                break
+            rest = sizes[item] - start
+            fit = [x for x in range(len(free)) if free[x] >= rest] or [x for x in range(len(free)) if free[x]]
+            assert (s, offset, m) == (min(fit, key=lambda x: (cost[x], x)), 1024 - free[s], min(rest, free[s]))
+            free[s] -= m
+            cost[s] += m + m * m / 512
+
+
 def test_balance():
     rng = random.Random(3)
     for n in (0, 1, 5, 300):
