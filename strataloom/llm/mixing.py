@@ -14,8 +14,8 @@ from .common import Tables
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 8
-#: Raking goes on, ROUNDS at a time, until no key's share is off by more than this, or that many times.
-MISS, MOST_TURNS = 1e-6, 32
+#: Where raking goes on to convergence: rounds a plan, until no key's share is off by more than MISS, or so many plans.
+TURN, MISS, MOST_TURNS = 2, 1e-6, 128
 #: Without a stated target, a key's share is its share of tokens to this power, scaled to 1.
 TEMPERATURE = 0.7
 _KEYS = [f"_{d}" for d in DIMENSIONS]
@@ -78,21 +78,20 @@ def _ratios(cells: DataFrame) -> DataFrame:
 
 def _miss(cells: DataFrame) -> float:
     """The most by which the raked share of any source, language or topic is off its wanted one."""
-    most = 0.0
+    whole, offs = Window.partitionBy("d"), None
     for key in _KEYS:
-        sums = cells.groupBy(key).agg(F.sum("w").alias("w"), F.first(f"_t{key}").alias("t"))
-        whole = Window.partitionBy()
-        off = F.abs(F.col("w") / F.sum("w").over(whole) - F.col("t") / F.sum("t").over(whole))
-        most = max(most, sums.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0)
-    return most
+        sums = cells.groupBy(key).agg(F.sum("w").alias("w"), F.first(f"_t{key}").alias("t")).select(F.lit(key).alias("d"), "w", "t")
+        offs = sums if offs is None else offs.unionByName(sums)
+    off = F.abs(F.col("w") / F.sum("w").over(whole) - F.col("t") / F.sum("t").over(whole))
+    return offs.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0
 
 
-def _calibrated(described: DataFrame, targets, rounds: int, temperature: float) -> DataFrame:
+def _calibrated(described: DataFrame, targets, temperature: float, turn: int = TURN) -> DataFrame:
     """(_source, _lang, _topic, _rate): raked to convergence, all ratios scaled by one factor so that the largest is 1."""
     tables = Tables(described.sparkSession, "mixing")
     cells = tables.write(_targeted(described, targets, temperature), "cells")
     for _ in range(MOST_TURNS):
-        cells = tables.write(_raked(cells, rounds), "raked")
+        cells = tables.write(_raked(cells, turn), "raked")
         if _miss(cells) <= MISS:
             break
     return _ratios(cells).select(*_KEYS, (F.col("ratio") / F.max("ratio").over(Window.partitionBy())).alias("_rate"))
@@ -128,7 +127,7 @@ def mixing_weights(docs: DataFrame, targets=None, rounds: int = ROUNDS, temperat
     )
 
 
-def sample_mixture(docs: DataFrame, targets=None, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
+def sample_mixture(docs: DataFrame, targets=None, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
     """The drawn rows of docs, with all their columns, whatever their names; their tokens have the wanted shares, but for chance.
 
     No row is drawn twice, so the scarcest cell is taken whole and every other one in proportion to it: of all tokens, one by the
@@ -137,7 +136,7 @@ def sample_mixture(docs: DataFrame, targets=None, rounds: int = ROUNDS, temperat
     """
     rows = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("row"))
     described = _described(rows)
-    found = _weighed(described, _calibrated(described, targets, rounds, temperature))
+    found = _weighed(described, _calibrated(described, targets, temperature))
     return found.where(_draw(F.col("doc_id"), seed) < F.col("_p")).select("row.*")
 
 

@@ -103,7 +103,7 @@ def test_raking_goes_on_to_convergence(spark):
     targets = {"source": {"a": 0.3, "b": 0.7}, "lang": {"en": 0.6, "de": 0.4}}
     described = mixing._described(docs)
     assert mixing._miss(mixing._raked(mixing._targeted(described, targets, 0.7), 1)) > 0.05
-    rate = {(r._source, r._lang): r._rate for r in mixing._calibrated(described, targets, 1, 0.7).collect()}
+    rate = {(r._source, r._lang): r._rate for r in mixing._calibrated(described, targets, 0.7, 1).collect()}
     drawn = {k: rate[k] * n for *k, n in cells for k in [tuple(k)]}
     assert max(rate.values()) == 1
     assert (drawn["a", "en"] + drawn["a", "de"]) / sum(drawn.values()) == pytest.approx(0.3, abs=1e-5)
