@@ -78,13 +78,15 @@ def exact_copies(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 def drop_copies(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows with one doc_id and one text, one stays.
 
+    A row without a doc_id stays where no row with one has its text, one of each text.
     Texts that occur once never shuffle; the others meet by text and doc_id, so that a large group is spread over tasks.
     """
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
     marked = possible_copies(rows, docs.count(), most_bits).drop("text")
     maybe = marked.where("_maybe").drop("_maybe")
     last = maybe.groupBy("_sha256").agg(F.max("doc_id").alias("doc_id"))
-    kept = maybe.join(last, ["_sha256", "doc_id"], "left_semi").dropDuplicates(["_sha256", "doc_id"])
+    same = (F.col("m._sha256") == F.col("l._sha256")) & F.col("m.doc_id").eqNullSafe(F.col("l.doc_id"))
+    kept = maybe.alias("m").join(last.alias("l"), same, "left_semi").dropDuplicates(["_sha256", "doc_id"])
     return marked.where(~F.col("_maybe")).select("row.*").unionByName(kept.select("row.*"))
 
 

@@ -283,6 +283,21 @@ def near_duplicates(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which one of each group stays, that with the smallest doc_id, with all their columns."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").cast("long") == F.col("k._kept_id"), "left_semi")
+    """The rows of docs of which one of each group stays, that with the smallest doc_id, with all their columns.
+
+    Rows without a doc_id take part under a number from 2**62 up that is a hash of their text, so that rows with a smaller doc_id
+    go before them; of equal texts one of them stays, and those without shingles all stay.
+    """
+    of_text = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    bare = docs.where(F.col("doc_id").cast("long").isNull())
+    some = bool(bare.take(1))
+    tables = Tables(docs.sparkSession, "near")
+    known = near_duplicates(docs.select(F.coalesce(F.col("doc_id").cast("long"), of_text).alias("doc_id"), "text") if some else docs, tables)
+    kept = known.where("kept").select(F.col("doc_id").alias("_kept_id"), "n_shingles").distinct()
+    kept = (tables.write(kept, "kept") if some else kept).alias("k")
+    named = docs.alias("d").join(kept, F.col("d.doc_id").cast("long") == F.col("k._kept_id"), "left_semi")
+    if not some:
+        return named
+    bare = bare.select(F.struct(*docs.columns).alias("row"), of_text.alias("_id")).join(kept, F.col("_id") == F.col("k._kept_id"))
+    bare = bare.where("n_shingles = 0").unionByName(bare.where("n_shingles > 0").dropDuplicates(["_id"]))
+    return named.unionByName(bare.select("row.*"))

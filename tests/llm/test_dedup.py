@@ -131,6 +131,24 @@ def test_repeated_rows(spark):
     assert [r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).orderBy("doc_id").collect()] == [1, 1, 2]
 
 
+@pytest.mark.parametrize("most", [exact_dedup.MOST_BITS, exact_dedup.PER_BITMAP])
+def test_rows_without_ids_pass_both_stages(spark, most):
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, "only here " + long), (None, "twice " + long[::-1]), (None, "twice " + long[::-1]), (None, "has an id"), (4, "has an id"), (None, None), (None, "")]
+    rows += [(10 + i, f"filler number {i} of its own {i * i}") for i in range(3000)]
+    want = ["4 has an id", "None None", "None only here " + long, "None twice " + long[::-1]]
+    kept = exact_dedup.drop_copies(frame(spark, rows), most).where("doc_id < 10 OR doc_id IS NULL").collect()
+    assert sorted(f"{r.doc_id} {r.text or None}" for r in kept) == want
+    near = [*rows[:7], (None, "only here " + long + " once more"), (5, "near " + long.upper()), (None, "near " + long.upper() + " too"), (6, "near " + long.upper())]
+    got = near_dedup.drop_near_duplicates(frame(spark, near))
+    assert got.columns == frame(spark, near).columns
+    texts = sorted(f"{r.doc_id} {r.text}" for r in got.collect())
+    alone = [x for x in texts if "only here" in x or "near" in x]
+    assert "4 has an id" in texts and "None has an id" not in texts
+    assert texts.count("None twice " + long[::-1]) == 1 and "None None" in texts and "None " in texts
+    assert len(alone) == 1 and alone[0] == "5 near " + long.upper()
+
+
 def test_null_ids(spark):
     rows = [(None, "a b c"), (4, "a b c"), (None, None)]
     assert sorted((r.doc_id is None, r.kept) for r in exact_dedup.exact_copies(frame(spark, rows)).collect()) == [(False, True), (True, False), (True, False)]
