@@ -1,10 +1,12 @@
-"""Removal of words that lie in a long run of words which already started earlier, by relative Lempel-Ziv parsing.
+"""Removal of words that lie in a long run of words which already started earlier, by an index of window hashes.
+
+This stands in for relative Lempel-Ziv parsing: nothing is parsed greedily, and no longest factor is found.
 
 The reference of a document is all that stands before it, and before each of its own places. It is indexed in blocks: each
-class of phrases (:mod:`.windows`) is a block, and holds the first occurrence of each phrase. A document is factored against
-every block that one of its triggers names: phrases that occur earlier as a whole are factors at once; others are compared
-window by window with the block's first occurrences at their boundaries. Adjacent factors join, and words that a factor of
-at least a window's length covers are removed.
+class of phrases (:mod:`.windows`) is a block, and holds the first occurrence of each phrase. A document is compared with
+every block that one of its triggers names: phrases that occur earlier as a whole are settled at once; others are compared
+window by window with the block's first occurrences at their boundaries. Adjacent stretches join, and words that they
+cover are removed; the column factors holds these runs.
 """
 
 from __future__ import annotations
