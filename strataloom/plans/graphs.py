@@ -169,10 +169,9 @@ def cluster_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def louvain_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of suppliers by common orders, a graph for each nation of the source."""
-    e = order_edges(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_nationkey").alias("grp")), "source")
-    other = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("grp"))
-    return graph.louvain(e.join(other, ["target", "grp"]).select("grp", "source", "target", F.col("weight").cast("double").alias("weight")), "grp")
+    """Communities of suppliers by common parts, over the graph of all suppliers, which is one group and so one task."""
+    e = order_edges(spark, d).select(F.lit("all").alias("grp"), "source", "target", F.col("weight").cast("double").alias("weight"))
+    return graph.louvain(e, "grp")
 
 
 @query()
@@ -190,11 +189,16 @@ def repeated_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def passage_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The documents that contain a passage: those with the passage's longest inner word are candidates, the text decides."""
+    """The documents that contain a passage: those with the passage's longest inner word are candidates, the text decides.
+
+    Passages of fewer than three words have no inner word; all texts are scanned for each of these few."""
     inner = F.slice(F.split("text", " "), 2, F.size(F.split("text", " ")) - 2)
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    passages = table(spark, d, "benchmark").where(F.size(F.split("text", " ")) >= 3).select("item_id", F.col("text").alias("passage"), longest.alias("word"))
+    every, long = table(spark, d, "benchmark"), F.size(F.split("text", " ")) >= 3
+    passages = every.where(long).select("item_id", F.col("text").alias("passage"), longest.alias("word"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     likely = words.join(passages.select("item_id", "word"), "word").select("doc_id", "item_id").join(passages.select("item_id", "passage"), "item_id")
-    return docs.join(likely, "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    found = docs.join(likely, "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    short = every.where(~long).select("item_id", F.col("text").alias("passage"))
+    return found.unionByName(docs.join(short, F.contains("text", F.col("passage"))).select("item_id", "doc_id"))

@@ -171,6 +171,46 @@ def test_redundant_names_query(spark, sf):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.011 for k in want)
 
 
+def test_louvain_over_all_suppliers(spark, sf, tmp_path):
+    """Every supplier with an edge is in one community, named after its smallest member, that no single move improves."""
+    from strataloom.plans import QUERIES
+
+    # two cliques of suppliers of all nations, with one part in common
+    lines = [(p, s) for p in range(6) for s in range(5)] + [(p, s) for p in range(10, 16) for s in range(5, 10)] + [(99, 0), (99, 9)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(s, s) for s in range(10)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.id: r.cluster for r in QUERIES["louvain_clusters"](spark, str(tmp_path)).collect()}
+    assert got == {s: 0 if s < 5 else 5 for s in range(10)}
+    links = {(r.source, r.target): float(r.weight) for r in QUERIES["shared_type_edges"](spark, sf).collect()}
+    rows = QUERIES["louvain_clusters"](spark, sf).collect()
+    of = {r.id: r.cluster for r in rows}
+    assert len(rows) == len(of) and of.keys() == {x for pair in links for x in pair} and rows
+    for c in set(of.values()):
+        assert c == min(x for x in of if of[x] == c)
+    total, degree = sum(links.values()), {n: sum(w for pair, w in links.items() if n in pair) for n in of}
+    to = lambda n, c: sum(w for (a, b), w in links.items() if n in (a, b) and of[b if a == n else a] == c)
+    gain = lambda n, c: to(n, c) - 1.2 * degree[n] * sum(degree[x] for x in of if of[x] == c and x != n) / (2 * total)
+    for n in of:
+        assert all(gain(n, c) <= gain(n, of[n]) + 1e-9 for c in set(of.values()))
+
+
+def test_short_passages(spark, tmp_path):
+    """Passages of one or two words, and an empty one, as the query's SQL finds them."""
+    import duckdb
+
+    from strataloom.plans import ORACLES, QUERIES
+
+    docs = [(1, "the quick brown fox"), (2, "a quicker fox"), (3, ""), (4, None), (5, "brown  fox quick")]
+    items = [(1, "quick"), (2, "quick brown"), (3, "the quick brown"), (4, ""), (5, None), (6, "brown  fox"), (7, "x y")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted((r.item_id, r.doc_id) for r in QUERIES["passage_documents"](spark, str(tmp_path)).collect())
+    assert got == sorted(duck.execute(ORACLES["passage_documents"]).fetchall()) and (1, 2) in got and (4, 3) in got
+
+
 def test_edges_of_papers_and_files(spark):
     papers = spark.createDataFrame([("p", "see 10.1234/abc and (Miller et al., 2020)", ["a", "b"]), ("q", "10.1234/ABC [Lee, 2019]", ["b"]), ("r", "[Lee, 2019]", [])], "source_id string, text string, category_labels array<string>")
     assert sorted((r.source, r.target, r.context) for r in graph.citation_edges(papers).collect()) == [("p", "q", "10.1234/abc"), ("q", "r", "lee, 2019")]
