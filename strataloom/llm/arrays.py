@@ -1,17 +1,20 @@
-"""Text batches as NumPy arrays: words and rolling hashes of many documents at once.
+"""Text batches as NumPy arrays: words, their hashes and rolling hashes of many documents at once.
 
-All hashes are 64-bit and depend on content alone, never on where in a batch the content lies.
+All hashes are 64-bit and depend on content alone, never on where in a batch the content lies. Rolling hashes are polynomials
+modulo 2**64, for which texts with equal hashes can be made at will: they only choose triggers. What decides whether texts
+are equal is word_hashes, BLAKE2 or the bytes themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -51,7 +54,7 @@ BYTES, WORDS = Powers(), Powers(0xD1342543DE82EF95)
 
 
 class Rolling:
-    """Polynomial hashes of any range of a sequence, after one pass over it."""
+    """Polynomial hashes of grams of a sequence, after one pass over it."""
 
     def __init__(self, values: np.ndarray, powers: Powers):
         n = len(values)
@@ -59,9 +62,6 @@ class Rolling:
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(values * up[:n], out=self.sums[1:])
 
-    def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * self.down[start])
-
     def grams(self, k: int) -> np.ndarray:
         """The hash of each k consecutive values."""
         n = len(self.sums) - k
@@ -70,10 +70,6 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
-def byte_hashes(data: np.ndarray) -> Rolling:
-    return Rolling(_TABLE[data], BYTES)
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each width consecutive values, by doubling."""
     have, out = 1, x
@@ -121,3 +117,88 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     last[:-1] &= ~ink[1:] | cut[1:n]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(start, at)
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each word raw[start:end]: its bytes, eight at a time, go through a chain of bijections, long words through BLAKE2."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    if not len(size):
+        return out
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))
+    at, c = np.arange(len(size)), 0
+    long = np.flatnonzero(size > 128)
+    while len(at) and c < 128:
+        left = np.minimum(size[at] - c, 8).astype(np.uint64)
+        out[at] = mix(out[at] ^ (eight[start[at] + c] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * left)))) + U(0xD1342543DE82EF95)
+        c += 8
+        at = at[size[at] > c]
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].data, digest_size=8).digest(), "little")
+    return out
+
+
+def joined(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with one space after each, as bytes, and where each of them starts there (and one place past the last)."""
+    size = end - start + 1
+    edge = np.concatenate(([0], np.cumsum(size)))
+    out = np.append(raw, np.uint8(0x20))[np.repeat(start - edge[:-1], size) + np.arange(edge[-1])]
+    out[edge[1:] - 1] = 0x20
+    return out, edge
+
+
+def fingerprint(data) -> int:
+    """64 bits of BLAKE2 as a signed number."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+class Suffixes:
+    """The order of the suffixes of a text by their first symbols, by prefix doubling; only groups not yet in order are sorted again.
+
+    rank[i] is the place, in the suffix array, of the first suffix that begins with the same have symbols as the one at i.
+    """
+
+    def __init__(self, symbols: np.ndarray, have: int = 1):
+        order = np.argsort(symbols, kind="stable")
+        self.have, self.rank = have, np.empty(len(order), np.int64)
+        self.rank[order] = _heads(symbols[order])
+
+    def double(self, by: int) -> None:
+        """From here on ranks tell have + by symbols apart, by at most have; suffixes shorter than that count as if they ended in a low symbol."""
+        n, rank = len(self.rank), self.rank
+        alive = np.bincount(rank, minlength=n)[rank] > 1
+        at = np.flatnonzero(alive)
+        if len(at):
+            after = np.zeros(len(at), np.int64)
+            inside = at + by < n
+            after[inside] = rank[at[inside] + by] + 1
+            key = rank[at] * (n + 1) + after
+            order = np.argsort(key, kind="stable")
+            at, key = at[order], key[order]
+            old = rank[at]
+            rank = rank.copy()
+            # a group's first place, and how far each of its new groups begins after it
+            rank[at] = old + _heads(key) - _heads(old)
+        self.rank, self.have = rank, self.have + by
+
+    def upto(self, width: int) -> np.ndarray:
+        """The ranks by the first width symbols."""
+        while self.have < width:
+            self.double(min(self.have, width - self.have))
+        return self.rank
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """For sorted values the place of the first equal one."""
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    return np.repeat(at, np.diff(np.append(at, len(x))))
+
+
+def byte_symbols(data: np.ndarray, width: int = 8) -> np.ndarray:
+    """Of each place the next width bytes (at most 8) as one number in the bytes' order, with zeros past the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.ndarray((len(data),), ">u8", padded.data, 0, (1,)).astype(np.uint64)
+    return out >> U(64 - 8 * width)

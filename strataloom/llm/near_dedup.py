@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTES, LOWER, U, _TABLE, Rolling, mix, portions, words
+from .arrays import LOWER, U, mix, portions, word_hashes, words
 from .common import Tables, arrow_rows, texts
 from .components import connected_components
 
 BANDS, ROWS = 40, 5
 #: A pair below this share of equal minima is not compared in full; at 200 minima, 0.8 lies five deviations above it.
 LEAST_ESTIMATE = 0.66
-BUCKET_BLOCK, SET_BLOCK = 512, 256
+BUCKET_BLOCK, SET_BLOCK, GUESTS = 512, 256, 4096
 PIVOT_ROUNDS = 2
 NUM, DEN = 80, 100
 
@@ -44,7 +44,7 @@ FEATURES = "doc_id long, n_shingles long, set_fp binary, sig binary, bands array
 def shingle_sets(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     """For each document the sorted distinct hashes of its two-word shingles; of a single word, that word; else none."""
     start, end, first = words(raw, at)
-    hashes = Rolling(_TABLE[LOWER[raw]], BYTES).ranges(start, end) if len(start) else np.zeros(0, np.uint64)
+    hashes = word_hashes(LOWER[raw], start, end)
     pairs = mix(hashes[:-1] * U(0x9FB21C651E98DF25) + mix(hashes[1:])) if len(hashes) > 1 else np.zeros(0, np.uint64)
     for i in range(len(at) - 1):
         a, b = first[i], first[i + 1]
@@ -206,11 +206,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
-def _pivot_links(label: DataFrame, sets: DataFrame, turn: int, before: DataFrame | None) -> DataFrame:
+def _sized(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows(comp, ...) with the size of their component, from a written table of those that have two members or more: both sides
+    are plain, so that a hot component is split by adaptive execution."""
+    return rows.join(sizes, "comp", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+
+
+def _pivot_links(label: DataFrame, sets: DataFrame, sizes: DataFrame | None, turn: int, before: DataFrame | None) -> DataFrame:
     """(a, b): links before, and those of representatives of label(key, rep, comp) to one pivot each, whole sets compared."""
-    sizes = label.select("rep", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     open_ = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = label.join(open_, "key", "left_semi").join(sizes, "comp") if turn else label.withColumn("size", F.lit(1))
+    rest = _sized(label.join(open_, "key", "left_semi"), sizes) if turn else label.withColumn("size", F.lit(1))
     # the first turn takes the smallest id, later ones another member of the largest component each
     order = F.struct("size", F.xxhash64("rep", F.lit(turn)), "rep") if turn else -F.col("rep")
     pivots = rest.groupBy("key").agg(F.max_by(F.struct("rep", "comp"), order).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("_c"))
@@ -251,27 +256,32 @@ def near_duplicates(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     candidates = members.select("rep").distinct()
     sets = tables.write(texts(docs).withColumnRenamed("doc_id", "rep").join(candidates, "rep", "left_semi").mapInArrow(_sets, "rep long, items array<long>").dropDuplicates(["rep"]), "sets")
 
-    label, links, comps = members.withColumn("comp", F.col("rep")), None, None
+    label, links, comps, sizes = members.withColumn("comp", F.col("rep")), None, None, None
     for n in range(PIVOT_ROUNDS):
-        links = tables.write(_pivot_links(label, sets, n, links), "verified")
+        links = tables.write(_pivot_links(label, sets, sizes, n, links), "verified")
         comps = tables.write(connected_components(links, tables), "components")
-        label = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        sizes = tables.write(comps.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("size")), "sizes")
+        named = comps.select(F.col("node").alias("rep"), "component")
+        label = members.join(named, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
 
     open_ = label.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    weight = label.select("rep", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
-    rest = label.join(open_, "key", "left_semi").join(weight, "comp").join(known.select("rep", "length", "sig"), "rep")
+    rest = _sized(label.join(open_, "key", "left_semi"), sizes).join(known.select("rep", "length", "sig"), "rep")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("key", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"), "rep", "comp", "size", "part", "length", "sig")
     order = ["key", "lo", "hi"]
     visits = tables.write(rest.repartition(*order).sortWithinPartitions(*order).mapInArrow(_alike, "x long, comp long").distinct(), "visits")
 
-    blocks = F.ceil(F.col("size") / SET_BLOCK).cast("int")
-    homes = label.select("rep", "comp").distinct().join(weight, "comp").join(visits.select("comp").distinct(), "comp", "left_semi")
-    homes = homes.select("comp", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("blk"), F.lit(0).alias("kind"), "rep")
-    guests = visits.join(weight, "comp").select("comp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("blk"), F.lit(1).alias("kind"), F.col("x").alias("rep"))
+    # members of a visited component in blocks, its guests in turns; each block meets each turn in a task of its own
+    asked = visits.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("turns"))
+    asked = tables.write(_sized(asked, sizes).select("comp", F.ceil(F.col("size") / SET_BLOCK).cast("int").alias("blocks"), "turns"), "asked")
+    every = candidates.join(named, "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+    homes = every.join(asked, "comp").withColumn("b", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    guests = visits.select("comp", F.col("x").alias("rep")).join(asked, "comp").withColumn("t", F.pmod(F.xxhash64("rep"), "turns"))
+    guests = guests.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = [rows.select("comp", (F.col("b") * F.col("turns") + F.col("t")).cast("long").alias("blk"), F.lit(kind).alias("kind"), "rep") for kind, rows in enumerate((homes, guests))]
     order = ["comp", "blk"]
-    met = homes.unionByName(guests).join(sets, "rep").select("comp", "blk", "kind", "rep", "items")
+    met = met[0].unionByName(met[1]).join(sets, "rep").select("comp", "blk", "kind", "rep", "items")
     more = met.repartition(*order).sortWithinPartitions(*order, "kind").mapInArrow(_linked, "a long, b long")
     star = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     more = tables.write(more, "links")

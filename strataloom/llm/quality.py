@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BYTES, LOWER, U, _TABLE, Rolling, portions, words
+from .arrays import LOWER, U, portions, word_hashes, words
 from .common import arrow_rows, texts
 
 SAMPLE = 2048  # labelled rows at most, so the broadcast model has at most SAMPLE * DIMENSIONS * 4 bytes and a basis
@@ -52,7 +52,7 @@ def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     kinds = _CLASS[raw]
     pair = kinds[:-1].astype(np.int32) * CLASSES + kinds[1:]
     start, end, first = words(raw, at)
-    hashes = Rolling(_TABLE[LOWER[raw]], BYTES).ranges(start, end) if len(start) else np.zeros(0, np.uint64)
+    hashes = word_hashes(LOWER[raw], start, end)
     for i in range(n):
         a, b = at[i], at[i + 1]
         if b - a > 1:

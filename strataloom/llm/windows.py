@@ -1,15 +1,20 @@
-"""Repeated windows of a sequence, found by content-defined phrases.
+"""Windows of a sequence that occur again, found by prefix-free parsing into phrases.
 
 A rolling hash of short grams sets triggers: the least gram hash of a window. Consecutive windows with the same trigger form
-a phrase; equal windows have the same trigger wherever they stand, and so lie in phrases of one class. A phrase goes to its
-class as a fingerprint of 8 bytes, so text that repeats as a whole is settled without its windows; only phrases that share a
-class with different ones are spelt out, and only one of each content.
+a phrase, and neighbouring phrases overlap by a window less one, so that each window lies in one phrase whole. Equal windows
+have the same trigger wherever they stand, and so lie in phrases of one class. The dictionary, dealt out by class, holds each
+distinct phrase once; the parse are the phrases' fingerprints with their places. Phrases that occur again whole are settled
+by the parse alone; only phrases that share a class with different ones are spelt out, one of each content.
 
-Classes of a bounded number of different phrases are settled in one task; the windows of larger ones are dealt out by hash.
+Equal phrases of a stretch of a task's input go on as one row with their number. A class of more than HOT different phrases
+is never gathered in one task: its windows are dealt out one by one, by their content.
+
+Rows are told apart by doc, the doc_id (a hash of the text where that is null), and h, a hash of the text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,49 +23,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import BYTES, SEGMENT, U, WORDS, _TABLE, Powers, Rolling, byte_hashes, column_bytes, mix, portions, sliding_min, words
+from .arrays import BYTES, SEGMENT, WORDS, _TABLE, Rolling, fingerprint, joined, portions, sliding_min, word_hashes, words
+from .common import Tables, texts
 
 #: A class with more different phrases than this is never gathered in one task; its windows are dealt out one by one.
-HOT = 20_000
-PHRASES = "key long, fp long, doc_id long, start long, n int, again boolean"
+HOT = 1024
+#: Keys with more than this share of all phrases are found before anything is gathered by key.
+SHARE = 1.01e-4
+#: Phrases of a task that are held back so that equal ones go on as one row.
+HELD = 200_000
+PHRASES = "key long, fp long, doc long, h long, start long, n int, again boolean, copies long"
+PLACE = ("doc", "h", "start")
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What a sequence is made of: window and gram length, and the values of a slice of documents."""
+    """What a sequence is made of, bytes or words; window and gram length are in these."""
 
     window: int
     gram: int
-    powers: Powers
-    values: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-
-
-def _byte_values(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _TABLE[raw], at
+    words: bool
 
+    def items(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Of concatenated documents: a number for each item, the documents' bounds among the items, the bytes that spell the
+        items, and where each item starts in these (None: item i is byte i)."""
+        if not self.words:
+            return _TABLE[raw], at, raw, None
+        start, end, first = words(raw, at)
+        return word_hashes(raw, start, end), first, *joined(raw, start, end)
 
-def _word_values(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start, end, first = words(raw, at)
-    return (Rolling(_TABLE[raw], BYTES).ranges(start, end) if len(start) else np.zeros(0, np.uint64)), first
+    def rolling(self, values: np.ndarray) -> Rolling:
+        return Rolling(values, WORDS if self.words else BYTES)
 
 
 def byte_kind(window: int = 200, gram: int = 32) -> Kind:
-    return Kind(window, gram, BYTES, _byte_values)
+    return Kind(window, gram, False)
 
 
 def word_kind(window: int = 20, gram: int = 5) -> Kind:
-    return Kind(window, gram, WORDS, _word_values)
+    return Kind(window, gram, True)
+
+
+def _spelt(data: np.ndarray, edge: np.ndarray | None, start: np.ndarray, stop: np.ndarray) -> Iterator[memoryview]:
+    """The bytes of the items from each start to each stop; words are joined by one space."""
+    view = memoryview(np.ascontiguousarray(data))
+    if edge is not None:
+        start, stop = edge[start], edge[stop] - 1
+    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+        yield view[a:b]
 
 
 def phrases(kind: Kind, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the concatenated values of documents, which start at at: trigger, fingerprint, document, start in it, number of
-    windows, whether the trigger occurs in it twice."""
+    """Of the concatenated values of documents, which start at at: trigger, first and last window of each phrase, its document,
+    whether the trigger occurs in it twice."""
     n = len(values) - kind.window + 1
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32, bool))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool))
     if n <= 0:
         return none
-    roll = Rolling(values, kind.powers)
-    grams = roll.grams(kind.gram)
+    grams = kind.rolling(values).grams(kind.gram)
     width = kind.window - kind.gram + 1
     least = sliding_min(grams, width)[:n]
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
@@ -76,55 +96,61 @@ def phrases(kind: Kind, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     key = least[start]
     view = np.lib.stride_tricks.sliding_window_view(grams, width)
     again = np.zeros(len(start), dtype=bool)
-    for i in range(0, len(start), 8192):
-        j = slice(i, i + 8192)
+    for i in range(0, len(start), 4096):
+        j = slice(i, i + 4096)
         first_at = start[j] + (view[start[j]] == key[j, None]).argmax(axis=1)
         last_at = last[j] + width - 1 - (view[last[j]][:, ::-1] == key[j, None]).argmax(axis=1)
         again[j] = first_at != last_at
-    fp = mix(roll.ranges(start, last + kind.window) + (last - start).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-    return key.view(np.int64), fp.view(np.int64), doc[start], start - at[doc[start]], (last - start + 1).astype(np.int32), again
+    return key.view(np.int64), start, last, doc[start], again
 
 
-def _stretches(kind: Kind, values: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Bounded stretches of values with their documents' bounds and how far each document began before the stretch."""
-    step = SEGMENT
-    if len(values) <= step + kind.window:
-        yield values, at, np.zeros(len(at) - 1, np.int64)
-        return
-    for lo in range(0, len(values) - kind.window + 1, step):
-        hi = min(len(values), lo + step + kind.window - 1)
-        yield values[lo:hi], np.clip(at, lo, hi) - lo, np.maximum(lo - at[:-1], 0)
+def _stretches(kind: Kind, n: int) -> Iterator[tuple[int, int]]:
+    """Bounded stretches of n values that hold each window once."""
+    for lo in range(0, max(1, n - kind.window + 1), SEGMENT):
+        yield lo, min(n, lo + SEGMENT + kind.window - 1)
 
 
-def phrase_rows(docs: DataFrame, kind: Kind) -> DataFrame:
-    """The phrases of texts(doc_id, text), in place of at most window - gram + 1 windows each."""
+def _combined(held: list[tuple[np.ndarray, ...]], earlier: bool) -> Iterator[pa.RecordBatch]:
+    """Of equal phrases the first place with their number; the other places with a number of 0. Places that repeat go only once,
+    and where only earlier ones count they don't add to the number."""
+    key, fp, doc, h, start, n, again = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((start, h, doc, fp, key))
+    key, fp, doc, h, start, n, again = (c[order] for c in (key, fp, doc, h, start, n, again))
+    head = np.ones(len(key), dtype=bool)
+    head[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+    new = head.copy()
+    new[1:] |= (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (start[1:] != start[:-1])
+    group = np.cumsum(head) - 1
+    copies = np.zeros(len(key), np.int64)
+    copies[head] = np.bincount(group[new] if earlier else group, minlength=group[-1] + 1 if len(group) else 0)
+    cols = [pa.array(c[new]) for c in (key, fp, doc, h, start, n.astype(np.int32), again, copies)]
+    table = pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in PHRASES.split(", ")])
+    for i in range(0, table.num_rows, 65536):
+        yield table.slice(i, 65536)
+
+
+def phrase_rows(docs: DataFrame, kind: Kind, earlier: bool) -> DataFrame:
+    """The phrases of docs(doc, h, text): equal ones of a stretch of a task have copies at the first place, and 0 at the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
         for batch in batches:
             for part, raw, at in portions(batch):
-                ids = part.column(0)
-                values, bounds = kind.values(raw, at)
-                for vals, cut, before in _stretches(kind, values, bounds):
-                    key, fp, doc, start, n, again = phrases(kind, vals, cut)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(fp), ids.take(pa.array(doc)), pa.array(start + before[doc]), pa.array(n), pa.array(again)],
-                        names=["key", "fp", "doc_id", "start", "n", "again"],
-                    )
-
-    return docs.mapInArrow(run, PHRASES)
-
-
-def shared_phrases(docs: DataFrame, kind: Kind, hot: int = HOT) -> DataFrame:
-    """The phrases whose class has another one: key, doc_id, start, n, copies of equal phrases, whether this is the first of
-    them in corpus order, whether its windows must be spelt out, and whether its class is too large for one task."""
-    by_class = Window.partitionBy("key")
-    by_text = Window.partitionBy("key", "fp").orderBy("fp", "doc_id", "start")
-    whole = Window.partitionBy("key", "fp").orderBy("fp", "doc_id", "start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # by class first: one exchange serves all windows, and most phrases, alone in their class, are gone before the second sort
-    rows = phrase_rows(docs, kind).withColumn("total", F.count(F.lit(1)).over(by_class)).where("total > 1 OR again")
-    rows = rows.withColumns({"copies": F.count(F.lit(1)).over(whole), "first": F.row_number().over(by_text) == 1})
-    rows = rows.withColumn("texts", F.count(F.when(F.col("first"), 1)).over(by_class))
-    return rows.select("key", "doc_id", "start", "n", "copies", "first", (F.col("first") & ((F.col("texts") > 1) | F.col("again"))).alias("spell"), (F.col("texts") > hot).alias("hot"))
+                values, bounds, data, edge = kind.items(raw, at)
+                doc_of, h_of = (part.column(i).to_numpy() for i in (0, 1))
+                for lo, hi in _stretches(kind, len(values)):
+                    key, start, last, doc, again = phrases(kind, values[lo:hi], np.clip(bounds, lo, hi) - lo)
+                    start, last = start + lo, last + lo
+                    fp = np.fromiter(map(fingerprint, _spelt(data, edge, start, last + kind.window)), np.int64, len(start))
+                    held.append((key, fp, doc_of[doc], h_of[doc], start - bounds[doc], last - start + 1, again))
+                    many += len(key)
+                if many >= HELD:
+                    yield from _combined(held, earlier)
+                    held, many = [], 0
+        if many:
+            yield from _combined(held, earlier)
+
+    return docs.select("doc", "h", "text").mapInArrow(run, PHRASES)
 
 
 def pack(start, n):
@@ -136,95 +162,70 @@ def unpack(stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return stretches >> 24, stretches & ((1 << 24) - 1)
 
 
-def _spell(docs: DataFrame, todo: DataFrame, kind: Kind, emit, schema: str) -> DataFrame:
-    """Rows of emit(values, raw, starts, phrases) for the phrases of todo(doc_id, key, start, n), read from the texts anew."""
-    by_doc = todo.groupBy("doc_id").agg(F.collect_list(F.struct("key", pack(F.col("start"), F.col("n")).alias("at"))).alias("todo"))
+def _spell(docs: DataFrame, todo: DataFrame, kind: Kind, emit: Callable, schema: str) -> DataFrame:
+    """Rows of emit(doc, h, keys, starts, numbers, contents) for the phrases of todo(key, doc, h, start, n), read from the texts anew."""
+    by_doc = todo.groupBy("doc", "h").agg(F.collect_list(F.struct("key", pack(F.col("start"), F.col("n")).alias("at"))).alias("todo"))
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in portions(batch):
-                values, bounds = kind.values(raw, at)
-                ids = part.column(0).to_numpy()
-                for i, row in enumerate(part.column(2)):
+                _, bounds, data, edge = kind.items(raw, at)
+                doc, h = (part.column(i).to_numpy() for i in (0, 1))
+                for i, row in enumerate(part.column(3)):
                     key, packed = (row.values.field(k).to_numpy() for k in (0, 1))
                     start, n = unpack(packed)
-                    order = np.argsort(start)
-                    mine = values[bounds[i] : bounds[i + 1]]
+                    ends = np.cumsum(n + kind.window)
                     j = 0
-                    while j < len(order):  # phrases that lie within a stretch of bounded length
-                        lo = start[order[j]]
-                        k = j + 1 + int(np.searchsorted(start[order[j + 1 :]], lo + SEGMENT))
-                        k = min(k, j + 4096)
-                        s, m = start[order[j:k]], n[order[j:k]]
-                        hi = int((s + m).max()) + kind.window - 1
-                        yield pa.RecordBatch.from_arrays(emit(int(ids[i]), key[order[j:k]], s, m, mine[lo:hi], raw[at[i] : at[i + 1]], int(lo)), names=names)
+                    while j < len(n):  # batches of bounded size
+                        k = max(j + 1, int(np.searchsorted(ends, (ends[j - 1] if j else 0) + SEGMENT)))
+                        s, m = start[j:k], n[j:k]
+                        first = bounds[i] + s
+                        content = _spelt(data, edge, first, first + m + kind.window - 1)
+                        yield pa.RecordBatch.from_arrays(emit(int(doc[i]), int(h[i]), key[j:k], s, m, content), names=names)
                         j = k
 
-    return docs.join(by_doc, "doc_id").select("doc_id", "text", "todo").mapInArrow(run, schema)
+    return docs.join(by_doc, ["doc", "h"]).select("doc", "h", "text", "todo").mapInArrow(run, schema)
 
 
-def _positions(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+def positions(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run of n."""
     return np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
 
 
 def spelt_windows(docs: DataFrame, todo: DataFrame, kind: Kind) -> DataFrame:
-    """(hash, doc_id, pos) of each window of the phrases of todo."""
+    """(hash, doc, h, pos) of each window of the phrases of todo; the hash are 128 bits of BLAKE2."""
 
-    def emit(doc, key, start, n, values, raw, base):
-        pos = _positions(start, n)
-        got = Rolling(values, kind.powers).ranges(pos - base, pos - base + kind.window)
-        return [pa.array(got.view(np.int64)), pa.array(np.full(len(pos), doc)), pa.array(pos)]
+    def emit(doc, h, key, start, n, content):
+        got = []
+        for text in content:
+            data = np.frombuffer(text, np.uint8)
+            edge = np.concatenate(([0], np.flatnonzero(data == 0x20) + 1, [len(data) + 1])) if kind.words else None
+            many = len(data) - kind.window + 1 if edge is None else len(edge) - kind.window
+            begin = np.arange(many)
+            got.extend(hashlib.blake2b(w, digest_size=16).digest() for w in _spelt(data, edge, begin, begin + kind.window))
+        pos = positions(start, n)
+        return [pa.array(got, pa.binary()), pa.array(np.full(len(pos), doc)), pa.array(np.full(len(pos), h)), pa.array(pos)]
 
-    return _spell(docs, todo, kind, emit, "hash long, doc_id long, pos long")
+    return _spell(docs, todo, kind, emit, "hash binary, doc long, h long, pos long")
 
 
-def settled_phrases(docs: DataFrame, todo: DataFrame, kind: Kind, keep_first: bool) -> DataFrame:
-    """(doc_id, stretch): the repeated windows of the phrases of todo, whose classes all fit in one task.
+def settled_phrases(docs: DataFrame, todo: DataFrame, kind: Kind, settle: Callable) -> DataFrame:
+    """(doc, h, stretch): what settle finds in the dictionary's shards, whole classes of todo's phrases.
 
-    A phrase travels as its bytes, or as the hashes of its windows where those are fewer. keep_first: the first of equal
-    windows in corpus order is not repeated.
+    settle(rows) gets rows(key, doc, h, start, n, content) sorted by key, and gives places in them: row, start, number of windows.
     """
-    spelt = kind.powers is BYTES
-
-    def emit(doc, key, start, n, values, raw, base):
-        if spelt:
-            content = [raw[a : a + m + kind.window - 1].tobytes() for a, m in zip(start.tolist(), n.tolist(), strict=True)]
-        else:
-            pos = _positions(start, n)
-            got = Rolling(values, kind.powers).ranges(pos - base, pos - base + kind.window)
-            content = [x.tobytes() for x in np.split(got, np.cumsum(n)[:-1])]
-        return [pa.array(key), pa.array(np.full(len(start), doc)), pa.array(start), pa.array(n, pa.int64()), pa.array(content, pa.binary())]
-
-    def hashes(rows: pa.Table, n: np.ndarray) -> np.ndarray:
-        data, at = column_bytes(rows.column("content").combine_chunks())
-        if not spelt:
-            return data.view(np.uint64) if data.ctypes.data % 8 == 0 else np.frombuffer(data.tobytes(), np.uint64)
-        pos = _positions(at[:-1], n)
-        return byte_hashes(data).ranges(pos, pos + kind.window)
+
+    def emit(doc, h, key, start, n, content):
+        many = len(key)
+        return [pa.array(key), pa.array(np.full(many, doc)), pa.array(np.full(many, h)), pa.array(start), pa.array(n), pa.array(map(bytes, content), pa.binary())]
 
     def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
-        doc, start, n = (rows.column(c).to_numpy() for c in ("doc_id", "start", "n"))
-        got = hashes(rows, n)
-        row = np.repeat(np.arange(len(n)), n)
-        pos = _positions(start, n)
-        order = np.lexsort((pos, doc[row], got)) if keep_first else np.argsort(got, kind="stable")
-        h = got[order]
-        same = h[1:] == h[:-1]
-        again = np.zeros(len(h), dtype=bool)
-        again[order[1:]] = same
-        if not keep_first:
-            again[order[:-1]] |= same
-        # runs of repeated windows of a phrase
-        edge = again.copy()
-        edge[1:] &= ~again[:-1] | (row[1:] != row[:-1])
-        head = np.flatnonzero(edge)
-        edge = again.copy()
-        edge[:-1] &= ~again[1:] | (row[1:] != row[:-1])
-        tail = np.flatnonzero(edge)
-        if len(head):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row[head]]), pa.array((pos[head] << 24) | (tail - head + 1))], names=["doc_id", "stretch"])
+        row, start, n = settle(rows)
+        if len(row):
+            doc, h = (rows.column(c).to_numpy()[row] for c in ("doc", "h"))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h), pa.array((start << 24) | n)], names=["doc", "h", "stretch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -233,34 +234,89 @@ def settled_phrases(docs: DataFrame, todo: DataFrame, kind: Kind, keep_first: bo
             if not batch.num_rows:
                 continue
             key = batch.column(0).to_numpy()
-            new = np.flatnonzero(np.concatenate(([key[0] != last], key[1:] != key[:-1])))
-            if weight > SEGMENT and len(new):
-                at = int(new[0])
-                if at:
-                    held.append(batch.slice(0, at))
-                if held:
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            sizes = np.concatenate(([0], np.cumsum(batch.column(4).to_numpy() + kind.window)))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if weight > SEGMENT >> 1 and key[a] != last:
                     yield from close(held)
-                held, weight, batch = [], 0, batch.slice(at)
-            held.append(batch)
-            weight += int(batch.column(3).to_numpy().sum())
-            last = key[-1]
+                    held, weight = [], 0
+                held.append(batch.slice(a, b - a))
+                weight += int(sizes[b] - sizes[a])
+                last = key[a]
         if held:
             yield from close(held)
 
-    rows = _spell(docs, todo, kind, emit, "key long, doc_id long, start long, n long, content binary")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, stretch long")
+    rows = _spell(docs, todo, kind, emit, "key long, doc long, h long, start long, n long, content binary")
+    return rows.repartition("key").sortWithinPartitions("key", "doc", "h", "start").mapInArrow(run, "doc long, h long, stretch long")
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc, h) of docs: the row key is the same each time that the table is read."""
+    h = F.xxhash64("text")
+    doc = F.coalesce("doc_id", F.xxhash64("text", F.lit(1)).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    return texts(docs).withColumns({"doc": doc, "h": h})
+
+
+def _hot_keys(rows: DataFrame, hot: int) -> list[int]:
+    """Keys of more than hot rows, all that have more than SHARE of them; at most 1 / SHARE keys reach the driver."""
+    often = rows.select("key").stat.freqItems(["key"], SHARE).first()[0]
+    return [r.key for r in rows.where(F.col("key").isin(often)).groupBy("key").count().where(F.col("count") > hot).collect()] if often else []
+
+
+def found_stretches(docs: DataFrame, tables: Tables, kind: Kind, earlier: bool, settle: Callable, hot: int = HOT) -> DataFrame:
+    """(doc, h, stretch) of docs(doc, h, text): runs of starts of windows that start elsewhere too, or, with earlier, that start
+    at an earlier place by (doc, h, start); the first of equal windows is not among these then."""
+    every = tables.write(phrase_rows(docs, kind, earlier), "phrases")
+    rows = every.where("copies > 0")
+    keys = _hot_keys(rows, hot)
+    known = F.col("key").isin(keys) if keys else F.lit(False)
+    stretch = pack(F.col("start"), F.col("n")).alias("stretch")
+    place = F.struct(*PLACE)
+
+    by_class, by_text = Window.partitionBy("key"), Window.partitionBy("key", "fp")
+    # by class first: one exchange serves all windows, and most phrases, alone in their class, are gone before the second sort
+    shared = rows.where(~known).withColumn("total", F.sum("copies").over(by_class)).where("total > 1 OR again")
+    shared = shared.withColumns({"whole": F.sum("copies").over(by_text), "turn": F.row_number().over(by_text.orderBy(*PLACE)), "place": F.rank().over(by_text.orderBy(*PLACE))})
+    shared = shared.withColumn("texts", F.count(F.when(F.col("turn") == 1, 1)).over(by_class))
+    spell = (F.col("turn") == 1) & ((F.col("texts") > 1) | F.col("again"))
+    settled = F.col("place") > 1 if earlier else F.col("whole") > 1
+    shared = tables.write(shared.select("key", *PLACE, "n", settled.alias("settled"), spell.alias("spell"), (F.col("texts") > hot).alias("hot")), "shared")
+    found = every.where("copies = 0").select("doc", "h", stretch).union(shared.where("settled").select("doc", "h", stretch))
+    found = found.union(settled_phrases(docs, shared.where("spell AND NOT hot"), kind, settle))
+
+    todo = shared.where("spell AND hot").select("key", *PLACE, "n")
+    if keys:
+        many = rows.where(known)
+        held = many.groupBy("key", "fp").agg(F.sum("copies").alias("whole"), F.min(F.struct(*PLACE, "n")).alias("f"))
+        held = tables.write(held, "hot")
+        again = many.select("key", "fp", *PLACE, "n").join(held.where("whole > 1"), ["key", "fp"])
+        found = found.union((again.where(place != F.struct("f.doc", "f.h", "f.start")) if earlier else again).select("doc", "h", stretch))
+        todo = todo.union(held.select("key", "f.doc", "f.h", "f.start", "f.n"))
+    if todo.take(1):
+        spelt = tables.write(spelt_windows(docs, todo, kind), "windows")
+        twice = spelt.groupBy("hash").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc", "h", "pos")).alias("f")).where("k > 1")
+        again = spelt.join(tables.write(twice, "twice"), "hash")
+        if earlier:
+            again = again.where(F.struct("doc", "h", "pos") != F.col("f"))
+        found = found.union(again.select("doc", "h", pack(F.col("pos"), F.lit(1))))
+    return tables.write(found, "stretches")
 
 
 def covered(stretches: np.ndarray, window: int, length: int) -> np.ndarray:
     """Which of length items lie in one of the windows."""
     start, n = unpack(stretches)
     edge = np.zeros(length + 1, dtype=np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + n + window - 1, -1)
+    np.add.at(edge, np.minimum(start, length), 1)
+    np.add.at(edge, np.minimum(start + n + window - 1, length), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def runs(gone: np.ndarray) -> np.ndarray:
+    """Start and end of each run of true values, one run a row."""
+    return np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).reshape(-1, 2)
+
+
 def with_stretches(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """texts with an array of packed stretches (empty if none) from found(doc_id, stretch)."""
-    by_doc = found.groupBy("doc_id").agg(F.collect_list("stretch").alias("stretches"))
-    return docs.join(by_doc, "doc_id", "left").select("doc_id", "text", F.coalesce("stretches", F.array().cast("array<long>")).alias("stretches"))
+    """(doc_id, text, stretches) of docs(doc_id, text, doc, h), with an array (empty if none) from found(doc, h, stretch)."""
+    by_doc = found.groupBy("doc", "h").agg(F.collect_list("stretch").alias("stretches"))
+    return docs.join(by_doc, ["doc", "h"], "left").select("doc_id", "text", F.coalesce("stretches", F.array().cast("array<long>")).alias("stretches"))

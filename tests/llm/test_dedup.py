@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.llm import arrays, exact_dedup, near_dedup, substring_dedup, suffix_dedup
+from strataloom.llm import arrays, exact_dedup, near_dedup, substring_dedup, suffix_dedup, windows
 from strataloom.llm.common import Tables
 from strataloom.llm.components import connected_components
 
@@ -79,32 +79,117 @@ def test_near_keeps_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [windows.HOT, 1])
 def test_repeated_bytes(spark, hot):
     rows = corpus(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_strings(frame(spark, rows), 200, hot).collect()}
     assert got == brute.repeated_bytes(rows, 200)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [windows.HOT, 1])
 def test_earlier_words(spark, hot):
     rows = corpus(4)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.earlier_passages(frame(spark, rows), 20, hot).collect()}
     assert got == brute.earlier_words(rows, 20)
 
 
+def thue_morse():
+    """Two different words of 1024 letters that have one polynomial hash modulo 2**64, whatever its base."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_hashes_that_can_be_made_equal(spark):
+    a, b = thue_morse()
+    rows = [(1, a), (2, b)]
+    assert sorted(r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()) == [1, 2]
+    assert brute.near(rows)[2][1] == 2
+    tail = " ".join("t%d" % i for i in range(19))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}")]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.earlier_passages(frame(spark, rows)).collect()}
+    assert got == brute.earlier_words(rows, 20) and got[2][1] == 0
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_strings(frame(spark, rows)).collect()}
+    assert got == brute.repeated_bytes(rows, 200)
+
+
+@pytest.mark.parametrize("hot", [windows.HOT, 1])
+def test_repeated_and_missing_ids(spark, hot):
+    """Texts under one doc_id are told apart; rows without one take part, after the others."""
+    rng = random.Random(8)
+    some = [" ".join(rng.choices(["w%d" % i for i in range(500)], k=n)) for n in (60, 300, 40, 90)]
+    rows = [(7, some[0]), (7, some[1]), (7, "x " + some[0] + " y"), (None, some[1]), (None, some[2]), (None, "z " + some[2]), (9, some[3]), (9, some[3]), (None, None)]
+    got = suffix_dedup.repeated_strings(frame(spark, rows), hot=hot).collect()
+    want = brute.repeated_bytes(list(enumerate(t for _, t in rows)), 200)
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want.values())
+    got = substring_dedup.earlier_passages(frame(spark, rows), hot=hot).collect()
+    assert len(got) == len(rows)
+    cut = {}
+    for r in got:
+        cut.setdefault((r.doc_id, r.n_words), []).append(r.n_removed)
+    # which of two texts of one id, or without one, comes first is settled by their hashes
+    assert sorted([cut[7, 60][0], cut[7, 62][0]]) == [0, 60] and cut[7, 300] == [0] and cut[None, 300] == [300]
+    assert sorted([cut[None, 40][0], cut[None, 41][0]]) == [0, 40] and cut[9, 90] == [0, 0] and cut[None, 0] == [0]
+
+
+@pytest.mark.parametrize("hot", [windows.HOT, 3])
+def test_common_passage(spark, hot, monkeypatch):
+    """A passage of many documents, in surroundings of their own, and a phrase of which a task holds many copies."""
+    monkeypatch.setattr(windows, "HELD", 50)
+    rng = random.Random(6)
+    own = lambda: " ".join("o%d" % rng.randrange(10**6) for _ in range(30))
+    passage, line = own(), own()[:60]
+    rows = [(i, f"{own()} {passage} {own()} {line} {own()}" if i % 2 else passage) for i in range(40)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_strings(frame(spark, rows), hot=hot).collect()}
+    assert got == brute.repeated_bytes(rows, 200)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.earlier_passages(frame(spark, rows), hot=hot).collect()}
+    assert got == brute.earlier_words(rows, 20)
+
+
+def test_suffix_order():
+    data = np.frombuffer((b"abracadabra" * 40 + b"xyz" * 50 + b"abracadabra" * 3), np.uint8)
+    for width in (3, 8, 20, 50):
+        rank = arrays.Suffixes(arrays.byte_symbols(data, min(8, width)), min(8, width)).upto(width)
+        heads = [data[i : i + width].tobytes() for i in range(len(data) - width + 1)]
+        assert sorted(range(len(heads)), key=lambda i: (heads[i], i)) == sorted(range(len(heads)), key=lambda i: (rank[i], i))
+        assert len(set(heads)) == len({rank[i] for i in range(len(heads))})
+
+
+def test_greedy_factors():
+    """Against a plain parse, with factors whose ends other factors cross."""
+    rng = random.Random(4)
+    for _ in range(60):
+        phrases = [[rng.randrange(2) for _ in range(rng.randrange(3, 14))] for _ in range(5)]
+        group, row, begin = [], [], [0]
+        names = {}
+        for r, p in enumerate(phrases):
+            for i in range(len(p) - 2):
+                group.append(names.setdefault(tuple(p[i : i + 3]), len(names)))
+                row.append(r)
+            begin.append(len(group))
+        group, row, begin = (np.array(x) for x in (group, row, begin))
+        source = np.array([list(group).index(g) for g in group])
+        hits = np.flatnonzero(source < np.arange(len(group)))
+        found = substring_dedup.greedy_factors(group, source, hits, begin, row)
+        assert sorted(x for i, m in found for x in range(i, i + m)) == hits.tolist()
+        for i, m in found:
+            r = source[i]
+            assert (group[i : i + m] == group[r : r + m]).all()
+            longer = i + m < begin[row[i] + 1] and r + m < begin[row[r] + 1]
+            assert not longer or group[i + m] != group[r + m]
+
+
 def test_long_texts_in_stretches(spark, monkeypatch):
     """Texts longer than a segment, with repeats across its bounds."""
-    from strataloom.llm import windows
-
     monkeypatch.setattr(windows, "SEGMENT", 1000)
     rng = np.random.default_rng(5)
     values = rng.integers(0, 2**63, 3000, dtype=np.uint64)
     values[2000:2900] = values[500:1400]
     kind = windows.word_kind(20, 5)
     whole = windows.phrases(kind, values, np.array([0, 3000]))
-    parts = [windows.phrases(kind, v, at) for v, at, _ in windows._stretches(kind, values, np.array([0, 3000]))]
-    assert whole[4].sum() == sum(p[4].sum() for p in parts) == 2981
+    parts = [windows.phrases(kind, values[lo:hi], np.array([0, hi - lo])) for lo, hi in windows._stretches(kind, 3000)]
+    assert (whole[2] - whole[1] + 1).sum() == sum((p[2] - p[1] + 1).sum() for p in parts) == 2981
     monkeypatch.undo()
     text = " ".join("t%d" % v for v in values)
     got = substring_dedup.earlier_passages(frame(spark, [(1, text)])).first()
@@ -175,8 +260,9 @@ def test_words_and_hashes():
     start, end, first = arrays.words(raw, at)
     assert [raw[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)] == ["a", "b", "é", "x", "end"]
     assert first.tolist() == [0, 0, 2, 4, 4, 5]
+    assert len(set(arrays.word_hashes(raw, start, end).tolist())) == 5
+    assert arrays.joined(raw, start, end)[0].tobytes().decode() == "a b é x end "
     x = np.arange(50, dtype=np.uint64)
     assert arrays.sliding_min(x[::-1].copy(), 7).tolist() == [int(x[::-1][i : i + 7].min()) for i in range(44)]
-    twice = np.concatenate([x, x])
-    r = arrays.Rolling(twice, arrays.WORDS)
-    assert r.ranges(np.array([3]), np.array([9])) == r.ranges(np.array([53]), np.array([59]))
+    grams = arrays.Rolling(np.concatenate([x, x]), arrays.WORDS).grams(6)
+    assert grams[3] == grams[53] != grams[4]
