@@ -3,6 +3,8 @@
 A text becomes weighted counts of its byte-class pairs (its letters, marks and their order) and a few shares of repeated
 words. A truncated SVD of a bounded sample of labelled rows gives the space; the sample's vectors are broadcast, and each
 document's exact cosines with all of them are computed in blocks. The nearest vote with weights that grow with similarity.
+
+Feature rows live in blocks of BLOCK documents only, and travel to the driver as their counts that are not zero.
 """
 
 from __future__ import annotations
@@ -15,19 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, U, portions, word_hashes, words
+from .arrays import LOWER, U, mix, portions, word_hashes, words
 from .common import arrow_rows, texts
 
 SAMPLE = 2048  # labelled rows at most, so the broadcast model has at most SAMPLE * DIMENSIONS * 4 bytes and a basis
 DIMENSIONS = 48
 NEIGHBOURS = 24
-CLASSES = 64
-EXTRA = 4
+BLOCK = 128  # documents whose features lie in memory at once
+CLASSES, HASHED, EXTRA = 64, 1024, 4
+PAIRS = CLASSES * CLASSES + HASHED
 RESULT = "doc_id long, score double, predicted int"
 
 
 def _classes() -> np.ndarray:
-    """Byte to class: small letters, capitals, digits, blanks, each usual mark, and groups of the rest."""
+    """Byte to class: small letters, capitals, digits, blanks, each usual mark, the rest; from 64 on bytes beyond ASCII."""
     out = np.full(256, 63, dtype=np.uint16)
     out[97:123] = np.arange(26)
     out[65:91] = 26
@@ -37,31 +40,38 @@ def _classes() -> np.ndarray:
     out[[9, 11, 12]] = 30
     for i, c in enumerate(b".,!?;:'\"-_()[]{}<>/\\|#$%&*+=@~^`"):
         out[c] = 31 + min(i, 29)
-    out[128:192] = 61
-    out[192:256] = 62
+    out[128:] = np.arange(64, 192)
     return out
 
 
-_CLASS = _classes()
+def _pairs() -> np.ndarray:
+    """Pair of classes to feature: of its own within ASCII, else one of HASHED."""
+    a, b = np.divmod(np.arange(192 * 192, dtype=np.uint64), U(192))
+    mixed = CLASSES * CLASSES + (mix(a * U(192) + b) % U(HASHED)).astype(np.int64)
+    return np.where((a < CLASSES) & (b < CLASSES), (a * U(CLASSES) + b).astype(np.int64), mixed).astype(np.int16)
+
 
+_CLASS, _PAIR = _classes(), _pairs()
 
-def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Counts of class pairs and EXTRA shares of repetition for each of the concatenated documents."""
-    n = len(at) - 1
-    out = np.zeros((n, CLASSES * CLASSES + EXTRA), dtype=np.float32)
+
+def features(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Counts of class pairs and EXTRA shares of repetition for each of the concatenated documents, in blocks of them."""
     kinds = _CLASS[raw]
-    pair = kinds[:-1].astype(np.int32) * CLASSES + kinds[1:]
+    pair = _PAIR[kinds[:-1].astype(np.int32) * 192 + kinds[1:]]
     start, end, first = words(raw, at)
     hashes = word_hashes(LOWER[raw], start, end)
-    for i in range(n):
-        a, b = at[i], at[i + 1]
-        if b - a > 1:
-            out[i, : CLASSES * CLASSES] = np.bincount(pair[a : b - 1], minlength=CLASSES * CLASSES)
-        h = hashes[first[i] : first[i + 1]]
-        if len(h) > 1:
-            pairs = h[:-1] * U(0x9FB21C651E98DF25) + h[1:]
-            out[i, -EXTRA:] = ((h[1:] == h[:-1]).mean(), (h[2:] == h[:-2]).mean() if len(h) > 2 else 0, 1 - len(np.unique(h)) / len(h), 1 - len(np.unique(pairs)) / len(pairs))
-    return out
+    for lo in range(0, len(at) - 1, BLOCK):
+        hi = min(lo + BLOCK, len(at) - 1)
+        out = np.zeros((hi - lo, PAIRS + EXTRA), dtype=np.float32)
+        for row, i in zip(out, range(lo, hi), strict=True):
+            a, b = at[i], at[i + 1]
+            if b - a > 1:
+                row[:PAIRS] = np.bincount(pair[a : b - 1], minlength=PAIRS)
+            h = hashes[first[i] : first[i + 1]]
+            if len(h) > 1:
+                pairs = h[:-1] * U(0x9FB21C651E98DF25) + h[1:]
+                row[-EXTRA:] = ((h[1:] == h[:-1]).mean(), (h[2:] == h[:-2]).mean() if len(h) > 2 else 0, 1 - len(np.unique(h)) / len(h), 1 - len(np.unique(pairs)) / len(pairs))
+        yield out
 
 
 @dataclass
@@ -74,45 +84,46 @@ class Model:
     quality: np.ndarray
 
     def latent(self, x: np.ndarray) -> np.ndarray:
+        """Unit vectors in the space, of features that are weighed in place."""
         y = _weigh(x, self.idf) @ self.basis
         return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
 
-    def score(self, x: np.ndarray, neighbours: int = NEIGHBOURS, block: int = 1024) -> np.ndarray:
-        """The share of votes for quality 1; without any labelled row 0.5 for all."""
+    def score(self, x: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
+        """The share of votes for quality 1, for a block of features; without any labelled row 0.5 for all."""
         if not len(self.vectors):
             return np.full(len(x), 0.5)
-        y, k, out = self.latent(x), min(neighbours, len(self.vectors)), []
-        for i in range(0, len(y), block):
-            near = y[i : i + block] @ self.vectors.T
-            top = np.argpartition(near, -k, axis=1)[:, -k:] if k < near.shape[1] else np.broadcast_to(np.arange(k), near.shape)
-            weight = np.exp(12 * np.take_along_axis(near, top, 1).astype(np.float64))
-            out.append((weight * self.quality[top]).sum(axis=1) / weight.sum(axis=1))
-        return np.round(np.clip(np.concatenate(out), 0, 1), 5) if out else np.zeros(0)  # blocks differ in the last bits
+        k = min(neighbours, len(self.vectors))
+        near = self.latent(x) @ self.vectors.T
+        top = np.argpartition(near, -k, axis=1)[:, -k:] if k < near.shape[1] else np.broadcast_to(np.arange(k), near.shape)
+        weight = np.exp(12 * np.take_along_axis(near, top, 1).astype(np.float64))
+        share = (weight * self.quality[top]).sum(axis=1) / weight.sum(axis=1)
+        return np.round(np.clip(share, 0, 1), 5)  # blocks differ in the last bits
 
 
 def _weigh(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Shares of pairs, damped, times idf, with unit length; the repetition shares keep a fixed weight beside them."""
-    head, tail = x[:, :-EXTRA], x[:, -EXTRA:]
-    y = np.sqrt(head / np.maximum(head.sum(axis=1, keepdims=True), 1)) * idf
-    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-    return np.hstack([y, tail]).astype(np.float32)
+    """In place: shares of pairs, damped, times idf, with unit length; the repetition shares keep a fixed weight beside them."""
+    head = x[:, :PAIRS]
+    head /= np.maximum(head.sum(axis=1, keepdims=True), 1)
+    np.sqrt(head, out=head)
+    head *= idf
+    head /= np.maximum(np.sqrt(np.einsum("ij,ij->i", head, head))[:, None], 1e-9)
+    return x
 
 
 def fit(x: np.ndarray, quality: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
-    """A randomised truncated SVD of the sample."""
-    seen = (x[:, :-EXTRA] > 0).sum(axis=0)
+    """A randomised truncated SVD of the sample, whose features are used up."""
+    seen = np.count_nonzero(x[:, :PAIRS], axis=0)
     idf = (np.log((1 + len(x)) / (1 + seen)) + 1).astype(np.float32)
-    y = _weigh(x, idf)
-    k = min(dimensions, *y.shape) if len(y) else 0
+    k = min(dimensions, *x.shape) if len(x) else 0
     if not k:
-        return Model(idf, np.zeros((y.shape[1], 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+        return Model(idf, np.zeros((x.shape[1], 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+    y = _weigh(x, idf)
     q = np.linalg.qr(y.T @ np.random.default_rng(5).standard_normal((len(y), min(k + 16, len(y))), dtype=np.float32))[0]
     for _ in range(3):
         q = np.linalg.qr(y.T @ (y @ q))[0]
     basis = (q @ np.linalg.svd(y @ q, full_matrices=False)[2][:k].T).astype(np.float32)
-    model = Model(idf, basis, np.zeros((0, k), np.float32), quality.astype(np.float64))
-    model.vectors = model.latent(x)
-    return model
+    vectors = y @ basis
+    return Model(idf, basis, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), quality.astype(np.float64))
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -129,14 +140,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, at in portions(batch):
-                x = features(raw, at)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1).cast(pa.int32()), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"]
-                )
+                rows = [(np.flatnonzero(r).astype(np.int16), r) for x in features(raw, at) for r in x]
+                places = pa.array([i.tobytes() for i, _ in rows], pa.binary())
+                counts = pa.array([r[i].tobytes() for i, r in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), places, counts], names=["doc_id", "quality", "places", "counts"])
 
     arrow_rows(docs.sparkSession)
-    rows = _sampled(docs, labels, sample).mapInArrow(run, "doc_id long, quality int, x binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    x = np.stack([np.frombuffer(r, np.float32) for r in rows.column("x").to_pylist()]) if rows.num_rows else np.zeros((0, CLASSES * CLASSES + EXTRA), np.float32)
+    rows = _sampled(docs, labels, sample).mapInArrow(run, "doc_id long, quality int, places binary, counts binary")
+    rows = rows.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    x = np.zeros((rows.num_rows, PAIRS + EXTRA), np.float32)
+    for row, places, counts in zip(x, rows.column("places"), rows.column("counts"), strict=True):
+        row[np.frombuffer(places.as_buffer(), np.int16)] = np.frombuffer(counts.as_buffer(), np.float32)
     return fit(x, rows.column("quality").to_numpy())
 
 
@@ -155,8 +169,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         model = shared.value
         for batch in batches:
             for part, raw, at in portions(batch):
-                scores = [model.score(features(raw[at[i] : at[j]], at[i : j + 1] - at[i])) for i in range(0, len(at) - 1, 1024) for j in [min(i + 1024, len(at) - 1)]]
-                score = np.concatenate(scores)
+                score = np.concatenate([model.score(x) for x in features(raw, at)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     scored = texts(docs).mapInArrow(run, RESULT)
@@ -164,16 +177,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs whose text the classifier does not reject, with all their columns, in one pass without a shuffle."""
+    """The rows of docs whose text the classifier does not reject (a score from 0.5 on), with all their columns, in one pass
+    without a shuffle.
+
+    Null texts are judged as empty ones, rows that repeat each; ids may be null or repeat, as only texts are judged. With no
+    usable label all rows stay; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part, raw, at in portions(batch):
-                for i in range(0, len(at) - 1, 1024):
-                    j = min(i + 1024, len(at) - 1)
-                    score = model.score(features(raw[at[i] : at[j]], at[i : j + 1] - at[i]))
-                    yield part.slice(i, j - i).filter(pa.array(score >= 0.5))
+                yield part.filter(pa.array(np.concatenate([model.score(x) >= 0.5 for x in features(raw, at)])))
 
     return docs.mapInArrow(run, docs.schema)
