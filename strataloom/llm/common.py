@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -32,9 +33,11 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only a local master gets a temporary one."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         folder = tempfile.mkdtemp(prefix="strataloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -52,10 +55,11 @@ class Tables:
         self.n = 0
         atexit.register(self._drop, self.base)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """The table as it is read back, in a folder for each value of the columns by."""
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _drop(self, path: str) -> None:

@@ -1,17 +1,23 @@
 """Exact dedup by two passes over Bloom filters, in DataFrame operations only.
 
-Pass one sets, for each text, a few bits of a counting filter that has a bounded size; what is kept of it is the set of bits
-that two or more rows asked for, as bitmaps of 4 KB. In pass two a row whose bits are not all in that set has no equal and
-goes straight through; only the others shuffle, by their SHA-256. A false positive costs a shuffled row, never a wrong answer.
+The texts' hashes are written once, as a table of 48 bytes a row. Pass one deals them by range into as many filters as keep
+each within MOST_BITS, and sets two bits a row in the filter of its range: only the bits that two or more rows asked for are
+kept, as bitmaps of 4 KB, and only rows that have both are grouped, by their SHA-256. Pass two sets the bits of the texts that
+do occur again; a row that has not both goes straight through, and only the others shuffle. A false positive costs a shuffled
+row, never a wrong answer.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Tables
+
 BITS_PER_ROW = 16
-MOST_BITS = 1 << 28  # 32 MB in all: what is broadcast never exceeds this, whatever the input
+MOST_BITS = 1 << 28  # 32 MB: what is broadcast at once never exceeds this, whatever the input
 PER_BITMAP = 32768
 
 
@@ -20,16 +26,18 @@ def filter_bits(rows: int, most: int = MOST_BITS) -> int:
     return max(PER_BITMAP, min(most, 1 << max(0, rows * BITS_PER_ROW - 1).bit_length()))
 
 
-def _bits(text: Column, size: int) -> list[Column]:
-    h = F.xxhash64(text)
-    return [F.pmod(h, F.lit(size)), F.pmod(F.shiftrightunsigned(h, 31), F.lit(size))]
+def ranges(rows: int, most: int = MOST_BITS) -> int:
+    """The filters of pass one."""
+    return -(-rows * BITS_PER_ROW // max(PER_BITMAP, most)) or 1
+
+
+def _bits(h: str, size: int) -> list[Column]:
+    return [F.pmod(F.col(h), F.lit(size)), F.pmod(F.shiftrightunsigned(h, 31), F.lit(size))]
 
 
-def _asked_twice(hashed: DataFrame) -> DataFrame:
-    """(bucket, map): bitmaps of the filter bits that more than one row asked for."""
-    bits = hashed.select(F.explode(F.array_distinct(F.array("b0", "b1"))).alias("bit"))
-    twice = bits.groupBy("bit").count().where("count > 1")
-    return twice.groupBy(F.floor(F.col("bit") / PER_BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % PER_BITMAP).alias("map"))
+def _bitmaps(bits: DataFrame) -> DataFrame:
+    """(bucket, map) of bits(bit): at most MOST_BITS / 8 bytes, bounded by filter_bits and not by the data."""
+    return bits.groupBy(F.floor(F.col("bit") / PER_BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % PER_BITMAP).alias("map"))
 
 
 def _has(map_: Column, bit: Column) -> Column:
@@ -39,19 +47,56 @@ def _has(map_: Column, bit: Column) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
-def possible_copies(docs: DataFrame, rows: int, most_bits: int = MOST_BITS) -> DataFrame:
-    """docs with _sha256, of its text, and _maybe, which is false only for texts that occur once."""
-    size = filter_bits(rows, most_bits)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    b0, b1 = _bits(text, size)
-    maps = _asked_twice(docs.select(b0.alias("b0"), b1.alias("b1")))
-    out = docs.withColumns({"_sha256": F.sha2(text, 256), "_b0": b0, "_b1": b1})
-    for i in (0, 1):
+def with_maybe(rows: DataFrame, maps: DataFrame, size: int) -> DataFrame:
+    """rows(_h, ...) with _maybe: whether the bitmaps have both bits of _h."""
+    out = rows
+    for i, bit in enumerate(_bits("_h", size)):
         found = maps.select(F.col("bucket").alias(f"_k{i}"), F.col("map").alias(f"_m{i}"))
-        # at most MOST_BITS / 8 bytes: bounded by filter_bits, not by the data
-        out = out.withColumn(f"_k{i}", F.floor(F.col(f"_b{i}") / PER_BITMAP)).join(F.broadcast(found), f"_k{i}", "left")
-    maybe = _has(F.col("_m0"), F.col("_b0")) & _has(F.col("_m1"), F.col("_b1"))
-    return out.select(*docs.columns, "_sha256", maybe.alias("_maybe"))
+        out = out.withColumns({f"_b{i}": bit, f"_k{i}": F.floor(bit / PER_BITMAP)}).join(F.broadcast(found), f"_k{i}", "left")
+    return out.select(*rows.columns, (_has(F.col("_m0"), F.col("_b0")) & _has(F.col("_m1"), F.col("_b1"))).alias("_maybe"))
+
+
+def possible_copies(hashes: DataFrame, rows: int, most: int = MOST_BITS) -> DataFrame:
+    """hashes(_h, ...) with _maybe, which is false only for those of which there is one: both of its bits were asked for twice."""
+    size = filter_bits(rows, most)
+    asked = hashes.select(F.explode(F.array_distinct(F.array(*_bits("_h", size)))).alias("bit"))
+    return with_maybe(hashes, _bitmaps(asked.groupBy("bit").count().where("count > 1")), size)
+
+
+def _hashes(text: Column) -> dict[str, Column]:
+    text = F.coalesce(text, F.lit(""))
+    return {"_sha": F.unhex(F.sha2(text, 256)), "_h": F.xxhash64(text)}
+
+
+def repeated_texts(hashes: DataFrame, tables: Tables, rows: int, most: int = MOST_BITS) -> DataFrame:
+    """(_sha, _h, keep_id, group_size) of every text of hashes(doc_id, _sha, _h) that occurs more than once."""
+    many = ranges(rows, most)
+    if many > 1:
+        # one file a range, so that each pass reads its own rows only
+        hashes = hashes.withColumn("_range", F.pmod(F.xxhash64("_h"), F.lit(many)))
+        hashes = tables.write(hashes.repartition("_range"), "ranges", "_range")
+    found = []
+    for i in range(many):
+        own = hashes.where(F.col("_range") == i) if many > 1 else hashes
+        maybe = possible_copies(own, -(-rows // many), most).where("_maybe")
+        groups = maybe.groupBy("_sha").agg(F.first("_h").alias("_h"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        found.append(tables.write(groups.where("group_size > 1"), "repeated"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, many: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """rows(_h, _sha, ...) in two parts: those that have no copy for sure, and the others with keep_id and group_size, null for
+    rows that have none after all. The groups are a written table, so that adaptive execution may split those of a large one."""
+    size = filter_bits(many, most)
+    bits = groups.select(F.explode(F.array(*_bits("_h", size))).alias("bit"))
+    marked = with_maybe(rows, _bitmaps(bits), size)
+    return marked.where(~F.col("_maybe")).drop("_maybe"), marked.where("_maybe").drop("_maybe").join(groups.drop("_h"), "_sha", "left")
+
+
+def _read(docs: DataFrame, tables: Tables, most: int) -> tuple[DataFrame, DataFrame, int]:
+    hashes = tables.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in _hashes(F.col("text")).items()]), "hashes")
+    groups = repeated_texts(hashes, tables, hashes.count(), most)
+    return hashes, groups, groups.count()
 
 
 def exact_copies(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
@@ -62,32 +107,27 @@ def exact_copies(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     same kept; of equal texts without any doc_id all have a null keep_id and kept is false. Very long texts are hashed whole;
     an empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = possible_copies(docs, docs.count(), most_bits).select("doc_id", F.col("_sha256").alias("text_sha256"), "_maybe")
-    alone = marked.where(~F.col("_maybe")).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.col("doc_id").isNotNull().alias("kept"), "text_sha256"
-    )
-    maybe = marked.where("_maybe").drop("_maybe")
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    copies = maybe.join(groups, "text_sha256").select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
-    )
-    return alone.unionByName(copies)
+    hashes, groups, many = _read(docs, Tables(docs.sparkSession, "exact"), most_bits)
+    alone, maybe = _with_groups(hashes, groups, many, most_bits)
+    size = F.coalesce("group_size", F.lit(1).cast("long"))
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    rows = alone.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")}).unionByName(maybe.withColumns({"keep_id": keep, "group_size": size}))
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows with one doc_id and one text, one stays.
 
-    A row without a doc_id stays where no row with one has its text, one of each text.
-    Texts that occur once never shuffle; the others meet by text and doc_id, so that a large group is spread over tasks.
+    Of equal texts the row with the largest doc_id stays; a row without a doc_id stays where no row with one has its text, one
+    of each text. A null text equals the empty one; an empty table gives an empty result. Texts that occur once never shuffle.
     """
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    marked = possible_copies(rows, docs.count(), most_bits).drop("text")
-    maybe = marked.where("_maybe").drop("_maybe")
-    last = maybe.groupBy("_sha256").agg(F.max("doc_id").alias("doc_id"))
-    same = (F.col("m._sha256") == F.col("l._sha256")) & F.col("m.doc_id").eqNullSafe(F.col("l.doc_id"))
-    kept = maybe.alias("m").join(last.alias("l"), same, "left_semi").dropDuplicates(["_sha256", "doc_id"])
-    return marked.where(~F.col("_maybe")).select("row.*").unionByName(kept.select("row.*"))
+    _, groups, many = _read(docs, Tables(docs.sparkSession, "exact"), most_bits)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in _hashes(F.col("text")).items()])
+    alone, maybe = _with_groups(rows, groups, many, most_bits)
+    once = maybe.where("group_size IS NULL")
+    last = maybe.where(F.col("group_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["_sha"])
+    return alone.select("row.*").unionByName(once.select("row.*")).unionByName(last.select("row.*"))
 
 
 ORACLE = """

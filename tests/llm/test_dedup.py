@@ -209,6 +209,22 @@ def test_exact(spark, most):
     assert sorted(r.doc_id for r in kept) == sorted(max(g) for g in groups.values())
 
 
+def test_filters_by_range(spark):
+    """With a small bound there are many filters, and few rows that have no copy go on."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") < 40, F.col("id") % 20).otherwise(F.col("id"))).alias("text"))
+    most = exact_dedup.PER_BITMAP
+    assert exact_dedup.ranges(4000, most) == 2 and exact_dedup.ranges(0, most) == 1 and exact_dedup.ranges(10**9) == 60
+    hashes = docs.select("doc_id", *[c.alias(k) for k, c in exact_dedup._hashes(F.col("text")).items()])
+    assert 40 <= exact_dedup.possible_copies(hashes, 4000).where("_maybe").count() < 120
+    for bits in (most, exact_dedup.MOST_BITS):
+        tables = Tables(spark, "t")
+        groups = exact_dedup.repeated_texts(hashes, tables, 4000, bits)
+        assert sorted((r.keep_id, r.group_size) for r in groups.collect()) == [(i + 20, 2) for i in range(20)]
+        alone, maybe = exact_dedup._with_groups(hashes, groups, 20, bits)
+        assert 40 <= maybe.count() < 60 and alone.count() + maybe.count() == 4000
+        assert exact_dedup.drop_copies(docs, bits).count() == 3980
+
+
 def test_repeated_rows(spark):
     rows = [(1, "same text"), (1, "same text"), (2, "other")]
     assert sorted(r.group_size for r in exact_dedup.exact_copies(frame(spark, rows)).collect()) == [1, 2, 2]
