@@ -1,8 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Token counts by source, language and topic are raked until they have the wanted share of each source, each language and each
-topic; a document is then drawn with the ratio of its cell's raked to its actual tokens. mixing_weights caps that ratio at 1, as
-its SQL does; sample_mixture scales all ratios by one factor, the largest to 1, so that what is drawn has the wanted shares.
+topic; a document is then drawn with the ratio of its cell's raked to its actual tokens, scaled by one factor for all cells, the
+largest ratio to 1, so that what is drawn has the wanted shares. mixing_weights rakes a fixed number of rounds, as its SQL does,
+and sample_mixture to convergence.
+
+What is raked are cells, the combinations of a source, a language and a topic at hand, in short plans with written tables between
+them; their number does not grow with the rows.
 """
 
 from __future__ import annotations
@@ -13,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import Tables
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS = 8
-#: Where raking goes on to convergence: rounds a plan, until no key's share is off by more than MISS, or so many plans.
+ROUNDS = 12
+#: Rounds a plan; where raking goes on to convergence, until no key's share is off by more than MISS, or so many plans.
 TURN, MISS, MOST_TURNS = 2, 1e-6, 128
 #: Without a stated target, a key's share is its share of tokens to this power, scaled to 1.
 TEMPERATURE = 0.7
@@ -23,26 +27,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic by what a text mentions."""
+    """The topic where none is given: a coarse one by what a text mentions."""
     return (
         F.when(text.contains("icens"), "legal").when(text.contains("@"), "contact").when(text.rlike("[0-9]{4}"), "record").otherwise("prose")
     )
 
 
-def _described(docs: DataFrame) -> DataFrame:
+def _described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = {"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": topic_of(text)}
+    of = topic_of(text) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
+    keys = {"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": of}
     return docs.withColumns(keys | {"_tokens": F.regexp_count(text, F.lit(WORD)).cast("long")})
 
 
-def raked_cells(described: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temperature: float = TEMPERATURE) -> DataFrame:
-    """(_source, _lang, _topic, tokens, ratio): ratio is raked by actual tokens of the cell.
-
-    targets: shares by key, for any of source, lang and topic; keys without one share what is left by their tempered tokens.
-    """
-    return _ratios(_raked(_targeted(described, targets, temperature), rounds))
-
-
 def _targeted(described: DataFrame, targets: dict[str, dict[str, float]] | None, temperature: float) -> DataFrame:
     """(_source, _lang, _topic, tokens, w, _t of each key): cells with their share of tokens and the wanted shares of their keys."""
     cells = described.groupBy(*_KEYS).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0")
@@ -71,9 +68,11 @@ def _raked(cells: DataFrame, rounds: int) -> DataFrame:
     return cells
 
 
-def _ratios(cells: DataFrame) -> DataFrame:
-    share = F.col("tokens") / F.sum("tokens").over(Window.partitionBy())
-    return cells.withColumn("ratio", F.col("w") / share).select(*_KEYS, "tokens", "ratio")
+def _rates(cells: DataFrame) -> DataFrame:
+    """(_source, _lang, _topic, tokens, ratio, _rate): raked by actual tokens, and that by its largest value."""
+    every = Window.partitionBy()
+    cells = cells.withColumn("ratio", F.col("w") / (F.col("tokens") / F.sum("tokens").over(every)))
+    return cells.select(*_KEYS, "tokens", "ratio", (F.col("ratio") / F.max("ratio").over(every)).alias("_rate"))
 
 
 def _miss(cells: DataFrame) -> float:
@@ -86,15 +85,18 @@ def _miss(cells: DataFrame) -> float:
     return offs.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0
 
 
-def _calibrated(described: DataFrame, targets, temperature: float, turn: int = TURN) -> DataFrame:
-    """(_source, _lang, _topic, _rate): raked to convergence, all ratios scaled by one factor so that the largest is 1."""
-    tables = Tables(described.sparkSession, "mixing")
+def raked(described: DataFrame, targets=None, temperature: float = TEMPERATURE, rounds: int | None = None, turn: int = TURN, tables: Tables | None = None) -> DataFrame:
+    """(_source, _lang, _topic, tokens, ratio, _rate), raked so many rounds, or to convergence.
+
+    targets: shares by key, for any of source, lang and topic; keys without one share what is left by their tempered tokens.
+    """
+    tables = tables or Tables(described.sparkSession, "mixing")
     cells = tables.write(_targeted(described, targets, temperature), "cells")
-    for _ in range(MOST_TURNS):
-        cells = tables.write(_raked(cells, turn), "raked")
-        if _miss(cells) <= MISS:
+    for n in range(-(-rounds // turn) if rounds else MOST_TURNS):
+        cells = tables.write(_raked(cells, min(turn, rounds - n * turn) if rounds else turn), "raked")
+        if not rounds and _miss(cells) <= MISS:
             break
-    return _ratios(cells).select(*_KEYS, (F.col("ratio") / F.max("ratio").over(Window.partitionBy())).alias("_rate"))
+    return _rates(cells)
 
 
 def _draw(doc_id: Column, seed: int) -> Column:
@@ -107,36 +109,38 @@ def _weighed(described: DataFrame, rates: DataFrame) -> DataFrame:
     return described.join(rates, _KEYS, "left").withColumn("_p", F.coalesce("_rate", F.lit(1.0)))
 
 
-def mixing_weights(docs: DataFrame, targets=None, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
+def mixing_weights(docs: DataFrame, targets=None, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0, topic: Column | None = None) -> DataFrame:
     """For every row of docs(doc_id, text, lang, source, ...): doc_id, source, lang, topic, n_tokens, probability, sampled.
 
-    n_tokens are the words [^\\x20\\x09-\\x0D]+ of the whole text. probability is the ratio of the raked to the actual tokens
-    of the row's source, language and topic, at most 1 (a cell that has fewer tokens than it should stays whole, so the drawn
-    rows miss the wanted shares by what is cut off; sample_mixture meets them), rounded to 6 places; sampled is drawn by a
-    hash of doc_id, so rows that repeat an id share the draw. Null texts are empty, null sources and languages are the key '';
-    texts without words have probability 1, as they weigh nothing. An empty table gives an empty result; other columns,
+    n_tokens are the words [^\\x20\\x09-\\x0D]+ of the whole text, which are counted once. probability is the ratio of the raked to
+    the actual tokens of the row's source, language and topic, by the largest such ratio, rounded to 6 places: the scarcest cell
+    is taken whole, every other in proportion. sampled is drawn by a hash of doc_id, so rows that repeat an id share the draw.
+    topic is a column of docs, or one by what a text mentions. Null texts are empty, null sources, languages and topics are the
+    key ''; texts without words have probability 1, as they weigh nothing. An empty table gives an empty result; other columns,
     whatever their names, are ignored.
     """
-    docs = docs.select("doc_id", "text", "lang", "source")
+    tables = Tables(docs.sparkSession, "mixing")
+    described = _described(docs, topic).select(F.col("doc_id").cast("long").alias("doc_id"), *_KEYS, "_tokens")
+    described = tables.write(described, "described")
     p = F.round("_p", 6)
-    described = _described(docs)
-    rates = raked_cells(described, targets, rounds, temperature).select(*_KEYS, F.least(F.lit(1.0), "ratio").alias("_rate"))
-    return _weighed(described, rates).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
+    return _weighed(described, raked(described, targets, temperature, rounds, tables=tables).select(*_KEYS, "_rate")).select(
+        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
         F.col("_tokens").alias("n_tokens"), p.alias("probability"), (_draw(F.col("doc_id"), seed) < p).alias("sampled"),
     )
 
 
-def sample_mixture(docs: DataFrame, targets=None, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
+def sample_mixture(docs: DataFrame, targets=None, temperature: float = TEMPERATURE, seed: int = 0, topic: Column | None = None) -> DataFrame:
     """The drawn rows of docs, with all their columns, whatever their names; their tokens have the wanted shares, but for chance.
 
     No row is drawn twice, so the scarcest cell is taken whole and every other one in proportion to it: of all tokens, one by the
-    largest ratio is drawn. Rows that repeat an id share the draw, and texts without words all stay. Wanted shares that no weights
-    of the cells at hand can have are come near to.
+    largest ratio is drawn. Rows that repeat an id share the draw, and texts without words, null ones too, all stay; null sources,
+    languages and topics are a key of their own. Wanted shares that no weights of the cells at hand can have are come near to. An
+    empty table gives an empty result.
     """
-    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("row"))
-    described = _described(rows)
-    found = _weighed(described, _calibrated(described, targets, temperature))
+    of = topic_of(F.coalesce(F.col("text"), F.lit(""))) if topic is None else topic
+    rows = docs.select("doc_id", "text", "lang", "source", of.alias("_of"), F.struct(*docs.columns).alias("row"))
+    described = _described(rows, F.col("_of"))
+    found = _weighed(described, raked(described, targets, temperature).select(*_KEYS, "_rate"))
     return found.where(_draw(F.col("doc_id"), seed) < F.col("_p")).select("row.*")
 
 
@@ -156,8 +160,8 @@ def oracle(documents: str = "documents", rounds: int = ROUNDS, temperature: floa
         for k in keys:
             steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c{n}.* REPLACE (w * t / sum(w) OVER (PARTITION BY {k}) AS w) FROM c{n} JOIN t_{k} USING ({k}))")
             n += 1
-    steps.append(f"r AS (SELECT source, lang, topic, w / (tokens / sum(tokens) OVER ()) AS ratio FROM c{n})")
-    steps.append("p AS (SELECT d.*, round(coalesce(least(1.0, ratio), 1.0), 6) AS probability FROM d LEFT JOIN r USING (source, lang, topic))")
+    steps.append(f"r AS (SELECT source, lang, topic, ratio / max(ratio) OVER () AS rate FROM (SELECT *, w / (tokens / sum(tokens) OVER ()) AS ratio FROM c{n}))")
+    steps.append("p AS (SELECT d.*, round(coalesce(rate, 1.0), 6) AS probability FROM d LEFT JOIN r USING (source, lang, topic))")
     drawn = f"('0x' || md5('{seed}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT / 4294967296.0 < probability AS sampled"
     return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, n_tokens, probability, {drawn} FROM p"
 

@@ -93,10 +93,11 @@ class Model:
         if not len(self.vectors):
             return np.full(len(x), 0.5)
         k = min(neighbours, len(self.vectors))
-        near = self.latent(x) @ self.vectors.T
-        top = np.argpartition(near, -k, axis=1)[:, -k:] if k < near.shape[1] else np.broadcast_to(np.arange(k), near.shape)
-        weight = np.exp(12 * np.take_along_axis(near, top, 1).astype(np.float64))
-        share = (weight * self.quality[top]).sum(axis=1) / weight.sum(axis=1)
+        near = np.round(self.latent(x) @ self.vectors.T, 4)
+        least = np.partition(near, -k, axis=1)[:, -k]
+        row, at = np.nonzero(near >= least[:, None])  # all that tie with the last neighbour vote
+        weight = np.exp(12 * near[row, at].astype(np.float64))
+        share = np.bincount(row, weight * self.quality[at]) / np.bincount(row, weight)
         return np.round(np.clip(share, 0, 1), 5)  # blocks differ in the last bits
 
 

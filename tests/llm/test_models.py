@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,38 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_votes_against_plain_loops():
+    """Each score against cosines and votes that are computed one by one."""
+    import pyarrow as pa
+
+    from strataloom.llm import arrays
+
+    texts = ["spam spam spam spam", "a fine text about rivers", "1234 5678 $$$$ ####", "another fine text about hills", "BUY NOW!!! BUY", "", "rivers and hills"] + ["漢字 かな %d" % i for i in range(4)]
+    raw, at = arrays.column_bytes(pa.array(texts))
+    model = quality.fit(np.concatenate(list(quality.features(raw, at))), np.array([0, 1, 0, 1, 0, 1, 1, 0, 0, 0, 0]), 6)
+    got = np.concatenate([model.score(x, 4) for x in quality.features(raw, at)])
+    vectors = model.latent(np.concatenate(list(quality.features(raw, at))))
+    for v, score in zip(vectors, got, strict=True):
+        cosines = [(round(sum(float(a) * float(b) for a, b in zip(v, w, strict=True)), 4), q) for w, q in zip(model.vectors, model.quality, strict=True)]
+        least = sorted((c for c, _ in cosines), reverse=True)[3]
+        cosines = [x for x in cosines if x[0] >= least]
+        weights = [math.exp(12 * c) for c, _ in cosines]
+        plain = sum(w * q for w, (_, q) in zip(weights, cosines, strict=True)) / sum(weights)
+        assert score == pytest.approx(plain, abs=2e-3)
+    # a block's bounds don't change a score
+    one = [model.score(next(quality.features(raw[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))), 4)[0] for i in range(len(texts))]
+    assert one == pytest.approx(got.tolist(), abs=2e-5)
+
+
+def test_quality_repeats_and_clashes(spark):
+    docs = frame(spark, [(3, "a plain text"), (3, "a plain text"), (None, "a plain text"), (5, "x" * 300)]).withColumns({"quality": F.lit(9), "score": F.lit("s"), "held_out": F.lit(1)})
+    labels = spark.createDataFrame([(3, 1), (3, 0), (5, 0), (None, 1)], "doc_id long, quality int")
+    got = quality.quality_scores(docs, labels).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id != 5}) == 1
+    assert [r.held_out for r in got if r.doc_id is None] == [None]
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
 def test_quality_edges(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "a plain text"), (4, "a plain text"), (5, "x" * 300_000)])
     labels = spark.createDataFrame([(3, 1, 0), (5, 0, 0), (4, None, 0), (77, 1, 0)], "doc_id long, quality int, toxic int")
@@ -71,14 +105,29 @@ def test_reputation_shrinks(spark):
 def test_raking(spark):
     rows = [(i, "w " * (10 + i % 7), "ab"[i % 3 == 0], ["en", "de"][i % 2]) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    cells = mixing.raked_cells(mixing._described(docs), {"source": {"a": 0.2, "b": 0.8}}, rounds=20)
+    cells = mixing.raked(mixing._described(docs), {"source": {"a": 0.2, "b": 0.8}}, rounds=20)
     total = cells.agg(F.sum(F.col("tokens") * F.col("ratio")).alias("t")).first().t
     share = {r._source: r.t / total for r in cells.groupBy("_source").agg(F.sum(F.col("tokens") * F.col("ratio")).alias("t")).collect()}
     assert share["a"] == pytest.approx(0.2, abs=1e-6) and share["b"] == pytest.approx(0.8, abs=1e-6)
     got = mixing.mixing_weights(docs, {"source": {"a": 0.2, "b": 0.8}}, rounds=20).collect()
-    assert {round(r.probability, 3) for r in got if r.source == "b"} == {1.0}
-    drawn = [r.sampled for r in got if r.source == "a"]
-    assert 0.2 < sum(drawn) / len(drawn) < 0.4
+    assert max(r.probability for r in got) == 1
+    tokens = {k: sum(r.n_tokens * r.probability for r in got if r.source == k) for k in "ab"}
+    assert tokens["a"] / sum(tokens.values()) == pytest.approx(0.2, abs=1e-4)
+    assert all(r.topic == r.lang for r in mixing.mixing_weights(docs, topic=F.col("lang")).collect())
+
+
+def test_drawn_marginals_of_the_query(spark):
+    """The tokens to be drawn of the query's own tables have the wanted share of each key to within 1 %."""
+    got = registry.op5_source_mixing(spark, "/root/testdata/sf0.01").collect()
+    every, drawn = sum(r.n_tokens for r in got), sum(r.n_tokens * r.probability for r in got)
+    for d in mixing.DIMENSIONS:
+        have, take = {}, {}
+        for r in got:
+            have[r[d]] = have.get(r[d], 0) + r.n_tokens / every
+            take[r[d]] = take.get(r[d], 0) + r.n_tokens * r.probability / drawn
+        scale = sum(v**mixing.TEMPERATURE for v in have.values())
+        for k, v in have.items():
+            assert take[k] == pytest.approx(v**mixing.TEMPERATURE / scale, rel=0.01), (d, k)
 
 
 def test_drawn_shares(spark):
@@ -103,7 +152,7 @@ def test_raking_goes_on_to_convergence(spark):
     targets = {"source": {"a": 0.3, "b": 0.7}, "lang": {"en": 0.6, "de": 0.4}}
     described = mixing._described(docs)
     assert mixing._miss(mixing._raked(mixing._targeted(described, targets, 0.7), 1)) > 0.05
-    rate = {(r._source, r._lang): r._rate for r in mixing._calibrated(described, targets, 0.7, 1).collect()}
+    rate = {(r._source, r._lang): r._rate for r in mixing.raked(described, targets, 0.7, turn=1).collect()}
     drawn = {k: rate[k] * n for *k, n in cells for k in [tuple(k)]}
     assert max(rate.values()) == 1
     assert (drawn["a", "en"] + drawn["a", "de"]) / sum(drawn.values()) == pytest.approx(0.3, abs=1e-5)
