@@ -49,8 +49,10 @@ class ByteBpe:
 class WordBpe:
     """A BPE file with word ends, lower case and no white space: exact token counts at every prefix of a text.
 
-    Counts at word ends are running sums over words; inside a word they come from a dynamic programme over its bytes: of the
-    tokens that may end at a place, one only is compatible with the last token of the prefix before it.
+    Tokens never cross a word, so a prefix has the tokens of the words before it and those of its last word's prefix. Within a
+    word a dynamic programme over bytes gives the counts of all prefixes at once: of the tokens that may end at a place, one only
+    is compatible with the last token of the prefix before it. The counts of a stretch without white space are its table;
+    n_tokens, truncation and budgets are all read from tables, and no text is encoded.
     """
 
     END = b"\xff"  # never part of UTF-8
@@ -69,7 +71,8 @@ class WordBpe:
         self.special = regex.compile("|".join(sorted((regex.escape(t["content"]) for t in file["added_tokens"]), key=len, reverse=True)))
         self.words = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|\\p{{L}}+|\\p{{N}}|[^{WHITE}\\p{{L}}\\p{{N}}]+")
         self.space = re.compile(f"[{WHITE}]+")
-        self.cache: dict[str, int] = {}
+        self.ink = re.compile(f"[^{WHITE}]+")
+        self.cache: dict[str, bytes] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     @staticmethod
@@ -78,33 +81,8 @@ class WordBpe:
             return text.lower()
         return "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
 
-    def _words(self, text: str) -> int:
-        n = 0
-        for word in self.words.findall(self.normal(text)):
-            n += len(self.engine.encode_single_piece(word.encode() + self.END))
-        return n
-
-    def piece(self, piece: str) -> int:
-        """Tokens of a stretch without white space; the special strings in it count one each."""
-        n = self.cache.get(piece)
-        if n is None:
-            if "<|" in piece and self.special.search(piece):
-                n = len(self.special.findall(piece)) + sum(map(self._words, self.special.split(piece)))
-            else:
-                n = self._words(piece)
-            if len(self.cache) < CACHED and len(piece) <= 32:
-                self.cache[piece] = n
-        return n
-
-    def split(self, text: str) -> list[str]:
-        return [p for p in self.space.split(text) if p] if ODD.search(text) else text.split()
-
-    def steps(self, text: str) -> list[int]:
-        """Tokens of each stretch between white space; their running sum is the count at the stretch's end."""
-        get, piece = self.cache.get, self.piece
-        return [n if (n := get(p)) is not None else piece(p) for p in self.split(text)]
-
     def _fit(self, left: bytes, right: bytes) -> bool:
+        """Whether two tokens stay what they are side by side."""
         ok = self.pairs.get((left, right))
         if ok is None:
             ok = self.engine.encode_single_piece(left + right) == [self.ranks[left], self.ranks[right]]
@@ -128,45 +106,96 @@ class WordBpe:
                     raise ValueError("no token ends here")
         return closed
 
-    def piece_prefixes(self, piece: str) -> list[int]:
-        """Tokens of each prefix of a stretch without white space, by characters."""
-        low = self.normal(piece)
-        if len(low) != len(piece) or "'" in piece or "<|" in piece or any(unicodedata.combining(c) for c in piece if ord(c) > 127):
-            return [0, *(self.piece(piece[:i]) for i in range(1, len(piece) + 1))]
-        out, before = [0], 0
+    def _plain(self, low: str) -> list[int]:
+        """Tokens of each prefix, by characters, of a normalised stretch without white space."""
+        out, before = [], 0
         for word in self.words.findall(low):
             raw = word.encode()
-            at, counts = 0, self.word_prefixes(raw)
-            for c in word:
-                at += len(c.encode())
-                out.append(before + counts[at])
+            counts = self.word_prefixes(raw)
+            if word[0] == "'" and len(word) == 3 and word[1:].isalpha():
+                counts[2] = counts[1] + self.word_prefixes(raw[1:2])[1]  # 'r is no word of its own
+            if len(raw) == len(word):
+                out.extend([before + c for c in counts[1:]])
+            else:
+                at = 0
+                for c in word:
+                    at += len(c.encode())
+                    out.append(before + counts[at])
             before = out[-1]
         return out
 
+    def _total(self, text: str) -> int:
+        counts = self._plain(self.normal(text))
+        return counts[-1] if counts else 0
+
+    def _segment(self, text: str) -> list[int]:
+        low = self.normal(text)
+        if text.isascii() or len(low) == len(text) and low == "".join([self.normal(c) for c in text]):
+            return self._plain(low)
+        # characters that join: what a prefix looks like depends on where it ends
+        return [self._total(text[:i]) for i in range(1, len(text) + 1)]
+
+    def _ends(self, piece: str) -> int:
+        """Tokens of a stretch without white space; the special strings in it count one each."""
+        parts = self.special.split(piece) if "<|" in piece else [piece]
+        return len(parts) - 1 + sum(map(self._total, parts))
+
+    def table(self, piece: str) -> bytes | list[int]:
+        """Tokens of each prefix of a stretch without white space, by characters."""
+        out, before, at = [], 0, 0
+        for m in self.special.finditer(piece) if "<|" in piece else ():
+            text, special = piece[at : m.start()], m.group()
+            counts = self._segment(text)
+            out.extend([before + c for c in counts])
+            out.extend([before + self._total(text + special[:j]) for j in range(1, len(special))])
+            before += (counts[-1] if counts else 0) + 1
+            out.append(before)
+            at = m.end()
+        out.extend([before + c for c in self._segment(piece[at:])])
+        return out
+
+    def piece(self, piece: str) -> int:
+        """Tokens of a stretch without white space: the end of its table, which is kept for short ones."""
+        known = self.cache.get(piece)
+        if known is not None:
+            return known[-1]
+        if len(piece) > 32:
+            return self._ends(piece)
+        counts = self.table(piece)
+        if len(self.cache) < CACHED:
+            self.cache[piece] = bytes(counts)
+        return counts[-1]
+
+    def split(self, text: str) -> list[str]:
+        return [p for p in self.space.split(text) if p] if ODD.search(text) else text.split()
+
+    def steps(self, text: str) -> list[int]:
+        """Tokens of each stretch between white space; their running sum is the count at the stretch's end."""
+        get, piece = self.cache.get, self.piece
+        return [t[-1] if (t := get(p)) is not None else piece(p) for p in self.split(text)]
+
+    def prefixes(self, text: str) -> np.ndarray:
+        """Tokens of each prefix of a text: entry i is that of the first i + 1 characters."""
+        out, before = np.zeros(len(text), np.int32), 0
+        at = 0
+        for m in self.ink.finditer(text):
+            known = self.cache.get(m.group())
+            counts = np.frombuffer(known, np.uint8) if known is not None else np.array(self.table(m.group()), np.int32)
+            out[at : m.start()] = before
+            out[m.start() : m.end()] = counts
+            out[m.start() : m.end()] += before
+            before, at = int(out[m.end() - 1]), m.end()
+        out[at:] = before
+        return out
+
     def longest_prefix(self, text: str, steps: list[int], budget: int) -> int:
-        """Characters of the longest prefix with at most budget tokens."""
+        """Characters of the longest prefix with at most budget tokens, which ends in the stretch that goes over the budget.
+
+        steps are those of the text; the counts at the ends of stretches only grow.
+        """
         done = 0
-        for k, n in enumerate(steps):
+        for m, n in zip(self.ink.finditer(text), steps, strict=True):
             if done + n > budget:
-                pieces = self.split(text)
-                at = 0
-                if ODD.search(text):
-                    for p in pieces[:k]:
-                        at = text.index(p, at) + len(p)
-                    at = text.index(pieces[k], at)
-                else:
-                    at = len(text) - len(text.split(None, k)[-1])
-                counts = self.piece_prefixes(pieces[k])
-                return at + max(i for i, c in enumerate(counts) if done + c <= budget)
+                return m.start() + max([0, *(i for i, c in enumerate(self.table(m.group()), 1) if done + c <= budget)])
             done += n
         return len(text)
-
-    def count_before(self, text: str, steps: list[int], chars: int) -> int:
-        """Tokens of the first chars characters, from the steps of the whole text and one word's programme."""
-        done = at = 0
-        for p, n in zip(self.split(text), steps, strict=True):
-            at = text.index(p, at)
-            if at + len(p) > chars:
-                return done + (self.piece_prefixes(p)[chars - at] if chars > at else 0)
-            at, done = at + len(p), done + n
-        return done

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strataloom.llm import packing, tiff, token_counts
@@ -11,7 +12,7 @@ from strataloom.llm.bpe import WordBpe
 
 from .test_dedup import corpus, frame
 
-ODD = ["a<|endoftext|>b C'est <|startoftext|>", "x\n <|endoftext|> y", " lead", "trail ", "a  b\n\n c\t\td", "É İstanbul ΣΑΣ ß ﬁ ẞ", "it's 'll WE'RE 'S", "漢字 かな 1234 ½\x1cz \x85", "é" * 50 + "abc" * 400, "!!''s ...'re", "👍🏽👨‍👩‍👧 z", "e\u0301 a\u0300b"]
+ODD = ["a<|endoftext|>b C'est <|startoftext|>", "x\n <|endoftext|> y", " lead", "trail ", "a  b\n\n c\t\td", "É İstanbul ΣΑΣ ß ﬁ ẞ", "it's 'll WE'RE 'S", "漢字 かな 1234 ½\x1cz \x85", "é" * 50 + "abc" * 400, "!!''s ...'re", "👍🏽👨‍👩‍👧 z", "e\u0301 a\u0300b", "they're 'real 'run ''re've ll'll", "x<|endoftext|>'re<|start <|startoftext|>"]
 
 
 @pytest.fixture(scope="module")
@@ -24,12 +25,15 @@ def test_counts(spark, texts):
     lib = Tokenizer.from_file(path)
     n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
     rows = [(i, t) for i, t in enumerate(texts)] + [(99, None), (0, texts[0])]
-    got = token_counts.token_counts(frame(spark, rows), path, 20, steps=True).collect()
+    counted = token_counts.token_counts(frame(spark, rows), path, 20, prefixes=True)
+    got = counted.withColumns({"half": token_counts.tokens_before(F.col("prefix_tokens"), 17), "fit": token_counts.chars_within(F.col("prefix_tokens"), 9)}).collect()
     assert len(got) == len(rows)
     for r in got:
         t = texts[r.doc_id] if r.doc_id < len(texts) else ""
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n(t), n(t) > 20)
-        assert sum(r.steps) == r.n_tokens
+        assert len(r.prefix_tokens) == len(t) and (r.prefix_tokens or [0])[-1] == r.n_tokens
+        assert r.half == n(t[:17])
+        assert n(t[: r.fit]) <= 9 and all(c > 9 for c in r.prefix_tokens[r.fit :])
         head = t.encode()[: r.bytes_in_limit].decode()
         assert n(head) <= 20
         assert all(n(t[:i]) > 20 for i in range(len(head) + 1, min(len(t), len(head) + 12) + 1))
@@ -41,9 +45,20 @@ def test_every_prefix(texts):
     lib, bpe = Tokenizer.from_file(path), WordBpe(path)
     rng = random.Random(1)
     for t in texts:
-        steps = bpe.steps(t)
-        for i in {rng.randint(0, len(t)) for _ in range(8)}:
-            assert bpe.count_before(t, steps, i) == len(lib.encode(t[:i], add_special_tokens=False).ids), (t[:i],)
+        counts = bpe.prefixes(t)
+        for i in range(1, len(t) + 1) if len(t) < 60 else {rng.randint(1, len(t)) for _ in range(20)}:
+            assert counts[i - 1] == len(lib.encode(t[:i], add_special_tokens=False).ids), (t[:i],)
+
+
+def test_long_texts(spark):
+    """A text of a megabyte, and one without white space, against the library."""
+    path, pack = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "some words and 1234, don't! " * 40_000), (2, "abcdefghij" * 3000), (3, "é" * 4000)]
+    lib, other = Tokenizer.from_file(path), Tokenizer.from_file(pack)
+    got = token_counts.token_counts(frame(spark, rows), path).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {k: len(lib.encode(t, add_special_tokens=False).ids) for k, t in rows}
+    packed = packing.pack_sequences(frame(spark, rows), pack).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert {r.doc_id: (r.n, r.m) for r in packed} == {k: (len(other.encode(t, add_special_tokens=False).ids) + 1,) * 2 for k, t in rows}
 
 
 def test_word_programme():
