@@ -27,7 +27,7 @@ from .arrays import BYTES, SEGMENT, WORDS, _TABLE, Rolling, fingerprint, joined,
 from .common import Tables, texts
 
 #: A class with more different phrases than this is never gathered in one task; its windows are dealt out one by one.
-HOT = 1024
+HOT = 20_000
 #: Keys with more than this share of all phrases are found before anything is gathered by key.
 SHARE = 1.01e-4
 #: Phrases of a task that are held back so that equal ones go on as one row.
