@@ -28,6 +28,15 @@ def carry_forward(new: DataFrame, history: DataFrame) -> DataFrame:
     return new.drop("analyzed_at").join(last, keys, "left")
 
 
+def mark_analyzed(versions: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """versions(snapshot_id, filename, run_key, analyzed_at, ...) with the time now on the rows that done(snapshot_id, filename)
+    names with its run_key; a null run key is 'default'."""
+    keys = ["snapshot_id", "filename", "_run"]
+    hit = done.select("snapshot_id", "filename", F.coalesce("run_key", F.lit("default")).alias("_run")).distinct().withColumn("_hit", F.lit(True))
+    rows = versions.withColumn("_run", F.coalesce("run_key", F.lit("default"))).join(hit, keys, "left")
+    return rows.withColumn("analyzed_at", F.when(F.col("_hit"), now).otherwise(F.col("analyzed_at"))).select(*versions.columns)
+
+
 def findings(runs: DataFrame, both_shapes: bool = False) -> DataFrame:
     """One row a finding: run_id, filename, category and its fields; files with an error have none."""
     items = F.coalesce("r.potential_smells", F.array().cast(runs.schema["results"].dataType.elementType["potential_smells"].dataType))

@@ -24,6 +24,26 @@ def recall_at_k(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, k: i
     return rows.agg(F.round(F.avg(F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("h", F.lit(0)) / F.col("n"))), 6).alias("recall"))
 
 
+def judged_by_label(ranked: DataFrame, queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """ranked(query_id, id, rank) with hit: whether the id has the query's label. Labels are looked up for the ranked rows only, so
+    that no pairs of a label are made. queries: (query_id, label), labels: (id, label)."""
+    rows = ranked.join(labels.select("id", F.col("label").alias("_of")), "id").join(queries.select("query_id", "label"), "query_id")
+    return rows.select("query_id", "id", "rank", (F.col("label") == F.col("_of")).alias("hit"))
+
+
+def label_mrr(judged: DataFrame) -> DataFrame:
+    first = judged.groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
+    return first.agg(F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def label_recall(judged: DataFrame, queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """Mean share of the other ids of a query's label among the first k; queries whose label has no other id don't count."""
+    sizes = labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
+    hits = judged.where((F.col("rank") <= k) & F.col("hit")).groupBy("query_id").agg(F.count(F.lit(1)).alias("h"))
+    rows = queries.join(sizes, "label").join(hits, "query_id", "left")
+    return rows.agg(F.round(F.avg(F.coalesce("h", F.lit(0)) / F.col("n")), 6).alias("recall"))
+
+
 def category_precision(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """Share of queries with an expected category of which one of the first k hits' labels contains it, or is in it."""
     e, x = F.lower("expected"), F.lower("label")

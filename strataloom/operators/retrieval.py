@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,19 +97,27 @@ def hybrid_search(chunks: DataFrame, feedback: DataFrame, terms: list[str], top_
     return scored.orderBy(F.desc("score_final"), "chunk_id").limit(top_k)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """Exact nearest vectors(id, embedding) for each of a stated, small set of queries(query_id, query): by cosine, ties by id.
+#: Queries that are broadcast at once: with vectors of some hundred numbers a few megabytes.
+QUERY_BLOCK = 2048
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact nearest vectors(id, embedding) for each of a stated set of queries(query_id, query): by cosine, ties by id.
 
-    The queries are collected into one array that every task scans its vectors against, and the rank is a window
-    with a limit, of which Spark keeps the best k of each task before the shuffle.
+    Queries go in blocks of a bounded size, each of which every task scans its vectors against, and the rank is a window
+    with a limit, of which Spark keeps the best k of each task before the shuffle. Each block is a scan of the vectors.
     """
-    asked = queries.agg(F.sort_array(F.collect_list(F.struct("query_id", "query"))).alias("qs"))
-    score = F.round(cosine(F.col("q.query"), F.col("embedding")), 6)
-    pairs = vectors.join(F.broadcast(asked)).select("id", "embedding", F.explode("qs").alias("q")).select(F.col("q.query_id").alias("query_id"), "id", score.alias("score"))
-    if least is not None:
-        pairs = pairs.where(F.col("score") >= least)
+    blocks = -(-queries.count() // block) or 1
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    score = F.round(cosine(F.col("q.query"), F.col("embedding")), 6)
+    found = []
+    for i in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
+        asked = own.agg(F.sort_array(F.collect_list(F.struct("query_id", "query"))).alias("qs"))
+        pairs = vectors.join(F.broadcast(asked)).select("id", "embedding", F.explode("qs").alias("q")).select(F.col("q.query_id").alias("query_id"), "id", score.alias("score"))
+        pairs = pairs if least is None else pairs.where(F.col("score") >= least)
+        found.append(pairs.withColumn("rank", rank).where(F.col("rank") <= k))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def vector_hits(distances: DataFrame, candidates: DataFrame) -> DataFrame:

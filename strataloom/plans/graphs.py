@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from ..operators import graph, metrics, retrieval, turbulence
+from ..operators import diff, graph, metrics, retrieval, turbulence
 from ..sources.adapters import order_edges, table
 from .registry import query
 
@@ -55,10 +55,10 @@ _RANKED = _KNN.format(11)
 
 
 def _judged(spark: SparkSession, d: str):
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = queries.join(e, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"))
-    return queries, _knn(spark, d, 11).where("id <> query_id").withColumn("rank", F.col("rank") - 1), relevant
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    queries = labels.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
+    ranked = _knn(spark, d, 11).where("id <> query_id").withColumn("rank", F.col("rank") - 1)
+    return queries, labels, metrics.judged_by_label(ranked, queries, labels)
 
 
 _REL = "SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id"
@@ -66,15 +66,14 @@ _REL = "SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embed
 
 @query(f"SELECT round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr FROM (SELECT r.query_id, min(r.rank - 1) FILTER (l.id IS NOT NULL) AS first FROM ({_RANKED}) r LEFT JOIN ({_REL}) l USING (query_id, id) WHERE r.id <> r.query_id GROUP BY r.query_id)")
 def mrr(spark: SparkSession, d: str) -> DataFrame:
-    _, ranked, relevant = _judged(spark, d)
-    return metrics.mrr(ranked, relevant)
+    return metrics.label_mrr(_judged(spark, d)[2])
 
 
 @query(f"""SELECT round(avg(coalesce(h, 0) / n), 6) AS recall FROM (SELECT query_id, count(*) AS n FROM ({_REL}) GROUP BY query_id) LEFT JOIN
  (SELECT query_id, count(*) AS h FROM ({_RANKED}) r JOIN ({_REL}) l USING (query_id, id) WHERE r.rank - 1 <= 5 GROUP BY query_id) USING (query_id)""")
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    queries, ranked, relevant = _judged(spark, d)
-    return metrics.recall_at_k(queries, ranked, relevant, 5)
+    queries, labels, judged = _judged(spark, d)
+    return metrics.label_recall(judged, queries, labels, 5)
 
 
 @query("""SELECT k, round(CASE WHEN len(t) > 0 THEN b / len(t) ELSE 0 END, 4) AS recall, round(CASE WHEN len(s) > 0 THEN b / len(s) ELSE 0 END, 4) AS precision, round(CASE WHEN b > 0 THEN 2 * (b / len(t)) * (b / len(s)) / (b / len(t) + b / len(s)) ELSE 0 END, 4) AS f1
@@ -181,10 +180,12 @@ def redundant_names(spark: SparkSession, d: str) -> DataFrame:
     return turbulence.redundancies(rows.select("ord", F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_name").alias("code")))
 
 
-@query("SELECT l_suppkey AS source, l_partkey AS target, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL HAVING count(*) > 1")
+@query("""SELECT l_suppkey AS source, l_partkey AS target, count(*) AS n, arg_min(l_linestatus, l_orderkey * 10 + l_linenumber) AS type FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL HAVING count(*) > 1""")
 def repeated_edges(spark: SparkSession, d: str) -> DataFrame:
-    rows = _typed(spark, d).where("type = 'R'").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-    return rows.where("n > 1")
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_linestatus").alias("type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_returnflag") == "R").alias("validated")
+    )
+    return diff.edge_conflicts(rows)
 
 
 @query("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")

@@ -180,9 +180,18 @@ def structural_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.structural_chunks(docs).select("source_id", "level", "ordinal", "chunk_id", "text_hash")
 
 
-@query()
+_CUT = r"regexp_matches(lines[i + 1], '^\s*$') OR regexp_matches(lines[i + 1], '^\s*((function|public|private|protected|class|def) .*\S|<\?php)')"
+_END = f"least(n, CASE WHEN {{0}} + 15 >= n THEN n ELSE coalesce(list_max(list_filter(range({{0}} + 11, {{0}} + 16), lambda i: {_CUT})), {{0}} + 15) END)"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id AS file, CASE WHEN ends_with(text, chr(10)) OR text = '' THEN lines[:-2] ELSE lines END AS lines FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10)) AS text, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) AS lines FROM documents)),
+ l AS (SELECT file, lines, len(lines) AS n FROM t WHERE len(lines) > 0),
+ b AS (SELECT file, lines, n, 0::BIGINT AS s, ({_END.format("0")})::BIGINT AS e FROM l UNION ALL SELECT file, lines, n, e, ({_END.format("e")})::BIGINT FROM b WHERE e < n)
+ SELECT file, (s + 1)::INTEGER AS start_line, e::INTEGER AS end_line, array_to_string(lines[s + 1:e], chr(10)) AS code FROM b""")
 def line_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return chunkers.line_blocks(table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text"), 3)
+    """documents with a line for each sentence."""
+    lines = F.replace(F.col("text"), F.lit(". "), F.lit(".\n"))
+    return chunkers.line_blocks(table(spark, d, "documents").select(F.col("doc_id").alias("file"), lines.alias("text")))
 
 
 @query("""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import jobs
 from .registry import query
 
 
 def _finished(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """The rows that a stream gives until it has read all there is, kept in the shared folder."""
-    base = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='strataloom-')}/stream-{uuid.uuid4().hex[:12]}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
     out = f"{base}/out"
 
     def put(batch: DataFrame, n: int) -> None:

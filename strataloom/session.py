@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,3 +25,14 @@ def build_session(master: str | None = None, **more: str) -> SparkSession:
         if master.startswith("local") and "spark.sql.shuffle.partitions" not in more:
             builder = builder.config("spark.sql.shuffle.partitions", "8")
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only a local master gets a temporary one."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
+        folder = tempfile.mkdtemp(prefix="strataloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder

@@ -4,7 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import chunkers, dedup, diff, feedback, graph, metrics, retrieval, training, turbulence
+from strataloom.functions import profiles
+from strataloom.operators import ambient, chunkers, dedup, diff, feedback, graph, metrics, retrieval, training, turbulence
 from strataloom.sources import readers
 from strataloom.sources.tables import upserted
 from strataloom.streaming import jobs
@@ -125,8 +126,60 @@ def test_smart_split():
     assert len(got["blocks"]) == 61 and got["selected"][-1]["name"] == "check_password" and sum(len(b["text"]) for b in got["selected"]) <= 300
     assert got["skipped_summary"].startswith("Skipped (")
     assert chunkers.smart_split("x" * 500, "a.txt", 100)["selected"][0]["text"] == "x" * 100
-    assert chunkers.block_pieces("a\n" * 30)[0] == (1, 15, "\n".join("a" * 15))
-    assert [p[:2] for p in chunkers.block_pieces("x\n" * 12 + "def f():\n" + "y\n" * 20)] == [(1, 12), (13, 27), (28, 33)]
+
+
+def plain_blocks(text, size):
+    """By the rule: of the ends that a block may have, the last one before a blank or defining line, else a full block."""
+    lines, out, a = text.splitlines(), [], 0
+    while a < len(lines):
+        may = [e for e in range(a + size - 4, a + size + 1) if a + 5 < e < len(lines) and (not lines[e].strip() or lines[e].strip().startswith(chunkers.BLOCK_STARTS))]
+        b = len(lines) if a + size >= len(lines) else max(may, default=a + size)
+        out.append((a + 1, b, "\n".join(lines[a:b])))
+        a = b
+    return out
+
+
+def test_line_blocks(spark):
+    import random
+
+    rng = random.Random(2)
+    some = ["x", "", "  ", "def f():", "def ", " class A:", "<?php", "public x", "y = 1", "functions"]
+    texts = ["a\n" * 30, "x\n" * 12 + "def f():\n" + "y\n" * 20, "", None, "one", "\n", "a\r\nb\rc"] + ["\n".join(rng.choices(some, k=rng.randrange(1, 80))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "file int, text string")
+    for size in (15, 3, 8):
+        got = {}
+        for r in chunkers.line_blocks(docs, size).orderBy("file", "start_line").collect():
+            got.setdefault(r.file, []).append((r.start_line, r.end_line, r.code))
+        assert got == {i: plain_blocks(t, size) for i, t in enumerate(texts) if t}
+    assert chunkers.line_blocks(docs.where("file = 1")).select("start_line", "end_line").collect() == [(1, 12), (13, 27), (28, 33)]
+
+
+def test_components_fail_rather_than_stop_short(spark):
+    edges = spark.range(60).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    assert graph.components(edges).select("component").distinct().count() == 1
+    with pytest.raises(RuntimeError):
+        graph.components(edges, rounds=1)
+
+
+def test_verdicts(spark):
+    members = spark.createDataFrame([(i, "a") for i in range(6)] + [(i, "b") for i in range(6, 9)], "id long, cluster string")
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0), (2, 3, 0.1), (6, 7, 1.0), (5, 6, 9.0)], "source long, target long, weight double")
+    verdicts = spark.createDataFrame([("a", graph.SPLIT), ("b", graph.SPLIT), ("c", graph.SPLIT)], "cluster string, action string")
+    got = {r.id: r.cluster for r in graph.after_verdicts(members, verdicts, edges).collect()}
+    assert got == {0: "0", 1: "0", 2: "0", 3: "3", 4: "3", 5: "3", 6: "b", 7: "b", 8: "b"}
+
+
+def test_jobs_and_context(spark):
+    jobs = spark.createDataFrame([(1, "queued", "local", "", 5), (2, "queued", "cloud", "gpu, big", 1), (3, "queued", "local", "", 2), (4, "running", "local", "", 1), (5, "queued", "cloud", "gpu,", 2)], "job_id long, status string, scope string, capability_required string, created_at long")
+    jobs = jobs.withColumns({"started_at": F.lit(None).cast("long"), "worker_id": F.lit("")})
+    assert {r.job_id: r.status for r in ambient.claimed(jobs, "w", F.lit(9)).collect()} == {1: "queued", 2: "queued", 3: "running", 4: "running", 5: "queued"}
+    cloud = ambient.claimed(jobs, "w", F.lit(9), "cloud", ["gpu"]).where("worker_id = 'w'").collect()
+    assert [(r.job_id, r.started_at) for r in cloud] == [(5, 9)]
+    rows = spark.createDataFrame([(["a"], "c" * 600, "r", [1.0, 0.0], [1.0, 1.0], True), ([], "", "r", [1.0], [1.0], False), ([], "c", "r", None, [1.0], False)], "trigger_ids array<string>, context_text string, response string, context_vector array<double>, response_vector array<double>, led_to_retrieval boolean")
+    got = ambient.context_feedback(rows).collect()
+    assert [(r.relevance_score, r.was_referenced, len(r.context_text)) for r in got] == [(0.7071, True, 500), (0.0, False, 0), (0.0, False, 1)]
+    tree = spark.createDataFrame([("a\n\u251c\u2500\u2500 artisan\n\u2514\u2500\u2500 composer.json",), ("x.py\nsetup.py",), ("x.py",)], "tree string")
+    assert [r.p for r in tree.select(profiles.tree_profile(F.col("tree")).alias("p")).collect()] == ["laravel", "python", "universal"]
 
 
 def test_redundancies(spark):
