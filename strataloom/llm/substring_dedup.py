@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .arrays import Suffixes, column_bytes, joined, portions, word_hashes, words
 from .common import Tables, arrow_rows
 from .suffix_dedup import SPANS
-from .windows import HOT, covered, found_stretches, positions, runs, with_rows, with_stretches, word_kind
+from .windows import covered, found_stretches, positions, runs, with_rows, with_stretches, word_kind
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
@@ -86,7 +86,7 @@ def _apply(window: int):
     return run
 
 
-def earlier_passages(docs: DataFrame, window: int = 20, hot: int = HOT, tables: Tables | None = None) -> DataFrame:
+def earlier_passages(docs: DataFrame, window: int = 20, hot: int | None = None, tables: Tables | None = None) -> DataFrame:
     """For every row of docs(doc_id, text, ...): n_words, n_removed, kept_sha256 and the removed spans (word positions).
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; a word is removed if a run of window words that covers it also starts earlier:

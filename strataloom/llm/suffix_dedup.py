@@ -3,7 +3,7 @@
 Rolling-hash triggers cut documents into phrases (:mod:`.windows`), which overlap by a window less one. The order of the corpus'
 suffixes by their first window bytes comes from two orders: the parse, sorted by its phrases, tells which phrases occur again
 whole; the dictionary, one shard of whole trigger classes at a time, gets a suffix array by prefix doubling, in which equal
-windows of different phrases stand side by side. A class of more than HOT phrases gets its windows dealt out by content instead.
+windows of different phrases stand side by side. A class too large for a task gets its windows dealt out by content instead.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from .arrays import Suffixes, byte_symbols, column_bytes, portions
 from .common import Tables, arrow_rows
-from .windows import HOT, byte_kind, covered, found_stretches, positions, runs, with_rows, with_stretches
+from .windows import byte_kind, covered, found_stretches, positions, runs, with_rows, with_stretches
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -62,7 +62,7 @@ def _apply(window: int):
     return run
 
 
-def repeated_strings(docs: DataFrame, window: int = 200, hot: int = HOT, tables: Tables | None = None) -> DataFrame:
+def repeated_strings(docs: DataFrame, window: int = 200, hot: int | None = None, tables: Tables | None = None) -> DataFrame:
     """For every row of docs(doc_id, text, ...): n_bytes, n_removed, n_spans, kept_sha256 and the removed spans.
 
     A byte is removed if a string of window bytes that covers it also starts at another place of any row, the same one

@@ -6,8 +6,8 @@ have the same trigger wherever they stand, and so lie in phrases of one class. T
 distinct phrase once; the parse are the phrases' fingerprints with their places. Phrases that occur again whole are settled
 by the parse alone; only phrases that share a class with different ones are spelt out, one of each content.
 
-Equal phrases of a stretch of a task's input go on as one row with their number. A class of more than HOT different phrases
-is never gathered in one task: its windows are dealt out one by one, by their content.
+Equal phrases of a stretch of a task's input go on as one row with their number. A class whose
+different phrases may have more than MOST_ITEMS items is never gathered in one task: its windows are dealt out by content.
 
 Rows are told apart by doc, the doc_id (a hash of the text where that is null), and h, a hash of the text.
 """
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .arrays import BYTES, SEGMENT, WORDS, _TABLE, Rolling, fingerprint, joined, portions, sliding_min, word_hashes, words
 from .common import Tables, texts
 
-#: A class with more different phrases than this is never gathered in one task; its windows are dealt out one by one.
-HOT = 20_000
+#: Items, bytes or words, of a class that are gathered in one task; the windows of larger classes are dealt out one by one.
+MOST_ITEMS = 1 << 23
 #: Keys with more than this share of all phrases are found before anything is gathered by key.
 SHARE = 1.01e-4
 #: Phrases of a task that are held back so that equal ones go on as one row.
@@ -44,6 +44,11 @@ class Kind:
     gram: int
     words: bool
 
+    @property
+    def hot(self) -> int:
+        """Phrases of a class that is gathered; but for those of one trigger over and over, they are shorter than two windows."""
+        return MOST_ITEMS // (2 * self.window)
+
     def items(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
         """Of concatenated documents: a number for each item, the documents' bounds among the items, the bytes that spell the
         items, and where each item starts in these (None: item i is byte i)."""
@@ -263,9 +268,10 @@ def _hot_keys(rows: DataFrame, hot: int) -> list[int]:
     return [r.key for r in rows.where(F.col("key").isin(often)).groupBy("key").count().where(F.col("count") > hot).collect()] if often else []
 
 
-def found_stretches(docs: DataFrame, tables: Tables, kind: Kind, earlier: bool, settle: Callable, hot: int = HOT) -> DataFrame:
+def found_stretches(docs: DataFrame, tables: Tables, kind: Kind, earlier: bool, settle: Callable, hot: int | None = None) -> DataFrame:
     """(doc, h, stretch) of docs(doc, h, text): runs of starts of windows that start elsewhere too, or, with earlier, that start
     at an earlier place by (doc, h, start); the first of equal windows is not among these then."""
+    hot = kind.hot if hot is None else hot
     every = tables.write(phrase_rows(docs, kind, earlier), "phrases")
     rows = every.where("copies > 0")
     keys = _hot_keys(rows, hot)

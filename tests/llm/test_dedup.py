@@ -79,14 +79,14 @@ def test_near_keeps_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
-@pytest.mark.parametrize("hot", [windows.HOT, 1])
+@pytest.mark.parametrize("hot", [None, 1])
 def test_repeated_bytes(spark, hot):
     rows = corpus(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_strings(frame(spark, rows), 200, hot).collect()}
     assert got == brute.repeated_bytes(rows, 200)
 
 
-@pytest.mark.parametrize("hot", [windows.HOT, 1])
+@pytest.mark.parametrize("hot", [None, 1])
 def test_earlier_words(spark, hot):
     rows = corpus(4)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.earlier_passages(frame(spark, rows), 20, hot).collect()}
@@ -114,7 +114,7 @@ def test_hashes_that_can_be_made_equal(spark):
     assert got == brute.repeated_bytes(rows, 200)
 
 
-@pytest.mark.parametrize("hot", [windows.HOT, 1])
+@pytest.mark.parametrize("hot", [None, 1])
 def test_repeated_and_missing_ids(spark, hot):
     """Texts under one doc_id are told apart; rows without one take part, after the others."""
     rng = random.Random(8)
@@ -133,7 +133,7 @@ def test_repeated_and_missing_ids(spark, hot):
     assert sorted([cut[None, 40][0], cut[None, 41][0]]) == [0, 40] and cut[9, 90] == [0, 0] and cut[None, 0] == [0]
 
 
-@pytest.mark.parametrize("hot", [windows.HOT, 3])
+@pytest.mark.parametrize("hot", [None, 3])
 def test_common_passage(spark, hot, monkeypatch):
     """A passage of many documents, in surroundings of their own, and a phrase of which a task holds many copies."""
     monkeypatch.setattr(windows, "HELD", 50)
