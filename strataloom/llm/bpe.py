@@ -72,7 +72,8 @@ class WordBpe:
         self.words = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|\\p{{L}}+|\\p{{N}}|[^{WHITE}\\p{{L}}\\p{{N}}]+")
         self.space = re.compile(f"[{WHITE}]+")
         self.ink = re.compile(f"[^{WHITE}]+")
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, int] = {}
+        self.ends: dict[str, int] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     @staticmethod
@@ -106,6 +107,25 @@ class WordBpe:
                     raise ValueError("no token ends here")
         return closed
 
+    def word_end(self, word: bytes) -> int:
+        """The last entry of word_prefixes: the programme over the prefixes that go on, then the one token that may end the word."""
+        ranks, fit, longest = self.ranks, self._fit, self.longest
+        if word + self.END in ranks:
+            return 1
+        last, opened = [b""], [0]
+        for i in range(1, len(word)):
+            for j in range(max(0, i - longest), i):
+                token = word[j:i]
+                if token in ranks and (not j or fit(last[j], token)):
+                    opened.append(opened[j] + 1)
+                    last.append(token)
+                    break
+        for j in range(max(1, len(word) - longest), len(word)):
+            token = word[j:] + self.END
+            if token in ranks and fit(last[j], token):
+                return opened[j] + 1
+        raise ValueError("no token ends here")
+
     def _plain(self, low: str) -> list[int]:
         """Tokens of each prefix, by characters, of a normalised stretch without white space."""
         out, before = [], 0
@@ -125,8 +145,15 @@ class WordBpe:
         return out
 
     def _total(self, text: str) -> int:
-        counts = self._plain(self.normal(text))
-        return counts[-1] if counts else 0
+        total, ends = 0, self.ends
+        for word in self.words.findall(self.normal(text)):
+            n = ends.get(word)
+            if n is None:
+                n = self.word_end(word.encode())
+                if len(ends) < CACHED and len(word) <= 32:
+                    ends[word] = n
+            total += n
+        return total
 
     def _segment(self, text: str) -> list[int]:
         low = self.normal(text)
@@ -140,7 +167,7 @@ class WordBpe:
         parts = self.special.split(piece) if "<|" in piece else [piece]
         return len(parts) - 1 + sum(map(self._total, parts))
 
-    def table(self, piece: str) -> bytes | list[int]:
+    def table(self, piece: str) -> list[int]:
         """Tokens of each prefix of a stretch without white space, by characters."""
         out, before, at = [], 0, 0
         for m in self.special.finditer(piece) if "<|" in piece else ():
@@ -156,15 +183,12 @@ class WordBpe:
 
     def piece(self, piece: str) -> int:
         """Tokens of a stretch without white space: the end of its table, which is kept for short ones."""
-        known = self.cache.get(piece)
-        if known is not None:
-            return known[-1]
-        if len(piece) > 32:
-            return self._ends(piece)
-        counts = self.table(piece)
-        if len(self.cache) < CACHED:
-            self.cache[piece] = bytes(counts)
-        return counts[-1]
+        n = self.cache.get(piece)
+        if n is None:
+            n = self._ends(piece)
+            if len(self.cache) < CACHED and len(piece) <= 32:
+                self.cache[piece] = n
+        return n
 
     def split(self, text: str) -> list[str]:
         return [p for p in self.space.split(text) if p] if ODD.search(text) else text.split()
@@ -172,17 +196,15 @@ class WordBpe:
     def steps(self, text: str) -> list[int]:
         """Tokens of each stretch between white space; their running sum is the count at the stretch's end."""
         get, piece = self.cache.get, self.piece
-        return [t[-1] if (t := get(p)) is not None else piece(p) for p in self.split(text)]
+        return [n if (n := get(p)) is not None else piece(p) for p in self.split(text)]
 
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of each prefix of a text: entry i is that of the first i + 1 characters."""
         out, before = np.zeros(len(text), np.int32), 0
         at = 0
         for m in self.ink.finditer(text):
-            known = self.cache.get(m.group())
-            counts = np.frombuffer(known, np.uint8) if known is not None else np.array(self.table(m.group()), np.int32)
             out[at : m.start()] = before
-            out[m.start() : m.end()] = counts
+            out[m.start() : m.end()] = self.table(m.group())
             out[m.start() : m.end()] += before
             before, at = int(out[m.end() - 1]), m.end()
         out[at:] = before

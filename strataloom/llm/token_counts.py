@@ -46,7 +46,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, prefixes: b
     prefix, by characters, for tokens_before and chars_within. Null and empty texts have no tokens; repeated rows are counted
     each; texts are never cut; an empty table gives an empty result; other columns are ignored.
 
-    A worker holds the tables of up to 250,000 different stretches of at most 32 characters. Where characters join when they are
+    A worker holds the counts of up to 250,000 different stretches and words of at most 32 characters each. Where characters join when they are
     normalised, a stretch's table takes time with the square of its length; n_tokens never does.
     """
 

@@ -65,6 +65,7 @@ def test_word_programme():
     bpe = WordBpe(public_tokenizers.path("word_bpe_49k.json"))
     for word in ("internationalisation", "é" * 9, "zzzzqqqq", "the"):
         raw = word.encode()
+        assert bpe.word_end(raw) == bpe.word_prefixes(raw)[-1]
         assert bpe.word_prefixes(raw) == [0, *(len(bpe.engine.encode_single_piece(raw[:i] + bpe.END)) for i in range(1, len(raw) + 1))]
 
 
