@@ -344,3 +344,31 @@ def test_labelled_log(spark):
     said = spark.createDataFrame([("a", "confirmed"), ("a", "refined"), ("b", "rejected"), ("c", "rejected"), ("c", "confirmed")], "filename string, verdict string").withColumn("run_id", F.lit("r"))
     got = {r.filename: r.label for r in training.labelled_log(log, said).collect()}
     assert got == {"a": "positive", "b": "negative", "c": "candidate", "d": "candidate", "e": "negative", "f": "neutral"}
+
+
+def test_nearest_on_odd_vectors(spark):
+    """Ties, copies, zeros, nulls, other lengths and halves of the last digit as the column expression has them; no row is made for each pair."""
+    import random
+
+    from pyspark.sql import Window
+
+    from strataloom.functions.vectors import cosine
+    from strataloom.operators import retrieval
+
+    rng = random.Random(3)
+    vec = lambda n=3: [float(rng.randint(-2, 2)) for _ in range(n)]
+    rows = [(i, vec(rng.choice([1, 2, 3, 3, 3]))) for i in range(150)] + [(i, [1.0, 2.0, 2.0]) for i in range(150, 200)]
+    rows += [(200, None), (201, [0.0, 0.0, 0.0]), (202, [1.0, None, 2.0]), (203, []), (204, [float("nan"), 1.0, 1.0]), (205, [1e-170, 0.0, 0.0]), (206, [1e200, 1e200, 0.0])]
+    rng.shuffle(rows)
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    queries = vectors.where("id % 7 = 0 OR id >= 200").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    plain = lambda d: sorted(map(repr, d.select("query_id", "id", F.col("score") + 0.0, "rank").collect()))
+    for k, least, block, kind in ((4, None, 8192, "long"), (300, None, 10, "long"), (5, 0.5, 10, "string"), (1, -0.2, 8192, "string")):
+        q, v = queries.withColumn("query_id", F.col("query_id").cast(kind)), vectors.withColumn("id", F.col("id").cast(kind))
+        pairs = q.crossJoin(v).select("query_id", "id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
+        pairs = pairs if least is None else pairs.where(F.col("score") >= least)
+        got = retrieval.nearest(q, v, k, least, block)
+        assert plain(got) == plain(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert not retrieval.nearest(queries.where("query_id < 0"), vectors, 3).collect()
