@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
+#: Rows that one task holds at once.
+ROWS = 1 << 20
+
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(filename, status) of (filename, hash, ...): added, removed, changed or unchanged, in one full join."""
@@ -69,9 +74,10 @@ def as_of(snapshots: DataFrame, dates: DataFrame, key: str, ts: str) -> DataFram
 
 
 def graph_diff(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of columns with change: added or removed."""
-    o, n = old.select(*columns).distinct(), new.select(*columns).distinct()
-    return n.exceptAll(o).withColumn("change", F.lit("added")).union(o.exceptAll(n).withColumn("change", F.lit("removed")))
+    """Rows of columns with change: added or removed. Both sides meet once, in tasks of a bounded number of rows."""
+    both = old.select(*columns, F.lit("removed").alias("side")).union(new.select(*columns, F.lit("added").alias("side")))
+    sides = dealt(both, both.count(), ROWS, *columns).groupBy(*columns).agg(F.min(F.col("side") == "added").alias("_a"), F.max(F.col("side") == "added").alias("_z"))
+    return sides.where("_a = _z").select(*columns, F.when(F.col("_z"), "added").otherwise("removed").alias("change"))
 
 
 def beyond_newest(rows: DataFrame, group: str, order: list, keep: int) -> DataFrame:

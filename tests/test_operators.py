@@ -372,3 +372,18 @@ def test_nearest_on_odd_vectors(spark):
         assert plain(got) == plain(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     assert not retrieval.nearest(queries.where("query_id < 0"), vectors, 3).collect()
+
+
+def test_graph_diff_deals_out_its_rows(spark, monkeypatch):
+    """Nulls, repeated rows and both directions as EXCEPT has them, in as many tasks as the rows need."""
+    from strataloom.operators import diff
+
+    monkeypatch.setattr(diff, "ROWS", 50, raising=False)
+    old = [(i, i % 7) for i in range(400)] * 2 + [(None, 1), (None, 2)]
+    new = [(i, i % 7) for i in range(200, 600)] + [(None, 2), (3, None), (3, None)]
+    frame = lambda x: spark.createDataFrame(x, "source long, target long")
+    got = diff.graph_diff(frame(old), frame(new), ["source", "target"])
+    assert got.columns == ["source", "target", "change"]
+    want = [(*x, "removed") for x in set(old) - set(new)] + [(*x, "added") for x in set(new) - set(old)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert got.rdd.getNumPartitions() == -(-(len(old) + len(new)) // 50)
