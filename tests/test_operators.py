@@ -387,3 +387,34 @@ def test_graph_diff_deals_out_its_rows(spark, monkeypatch):
     want = [(*x, "removed") for x in set(old) - set(new)] + [(*x, "added") for x in set(new) - set(old)]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert got.rdd.getNumPartitions() == -(-(len(old) + len(new)) // 50)
+
+
+def test_common_edges_of_hot_tokens(spark, monkeypatch, tmp_path):
+    """Weights as counted by hand, with repeated rows, nulls and a token that most nodes have; pairs are dealt out by their number."""
+    import itertools
+    import random
+    import re
+    from collections import Counter
+
+    from strataloom.plans import QUERIES
+
+    monkeypatch.setattr(graph, "ROWS", 50, raising=False)
+    monkeypatch.setattr(graph, "PAIRS", 64, raising=False)
+    rng = random.Random(5)
+    rows = [(rng.randrange(80), rng.randrange(30)) for _ in range(300)] + [(n, 99) for n in range(70)] + [(None, 99), (3, None), (4, None), (200, 77)]
+    spark.createDataFrame([(t, n) for n, t in rows + rows[:50]], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(n, n % 3) for n in range(90)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    of = {}
+    for n, t in rows:
+        if n is not None and t is not None:
+            of.setdefault(t, set()).add(n)
+    want = Counter(p for ns in of.values() for p in itertools.combinations(sorted(ns), 2))
+    got = QUERIES["shared_type_edges"](spark, str(tmp_path))
+    assert {(r.source, r.target): r.weight for r in got.collect()} == want
+    tasks = -(-sum(len(ns) * (len(ns) - 1) // 2 for ns in of.values()) // 64)
+    assert re.search(rf"hashpartitioning\(t#\d+L?, part#\d+L?, {tasks}\)", got._jdf.queryExecution().executedPlan().toString())
+    degrees = {r.id: (r.out_degree, r.in_degree) for r in QUERIES["degree_table"](spark, str(tmp_path)).collect()}
+    outs, ins = Counter(a for a, _ in want), Counter(b for _, b in want)
+    assert degrees == {n: (outs[n], ins[n]) for n in range(90)}
+    one = QUERIES["cluster_quality"](spark, str(tmp_path)).first()
+    assert (one.edges, one.internal) == (len(want), sum(a % 3 == b % 3 for a, b in want))
