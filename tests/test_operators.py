@@ -418,3 +418,24 @@ def test_common_edges_of_hot_tokens(spark, monkeypatch, tmp_path):
     assert degrees == {n: (outs[n], ins[n]) for n in range(90)}
     one = QUERIES["cluster_quality"](spark, str(tmp_path)).first()
     assert (one.edges, one.internal) == (len(want), sum(a % 3 == b % 3 for a, b in want))
+
+
+def test_components_of_odd_edges(spark):
+    """Loops, nulls, repeated edges and strings, over tasks that share nodes, as a search finds them."""
+    import random
+
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(230)] + [(i, i + 1) for i in range(400, 450)] + [(500, 500), (600, None), (None, 601), (None, None), (0, 1), (0, 1)]
+    root = {x: x for e in links for x in e if x is not None}
+    for _ in range(len(links)):
+        for a, b in links:
+            if a is not None and b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    for kind, name in (("long", int), ("string", lambda x: f"n{x:04}")):
+        edges = [tuple(None if x is None else name(x) for x in e) for e in links]
+        frame = spark.createDataFrame(edges, f"source {kind}, target {kind}")
+        for tasks in (1, 5):
+            found = graph.components(frame.repartition(tasks))
+            assert sorted(map(tuple, found.collect())) == sorted((name(a), name(b)) for a, b in root.items())
+    plan = graph.components(frame.repartition(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # what a task connects needs no rounds
