@@ -420,6 +420,25 @@ def test_common_edges_of_hot_tokens(spark, monkeypatch, tmp_path):
     assert (one.edges, one.internal) == (len(want), sum(a % 3 == b % 3 for a, b in want))
 
 
+def test_louvain_by_components(spark):
+    """Components of a group go to tasks of their own, and communities are those of the whole group; small groups are singletons."""
+    import random
+
+    rng = random.Random(2)
+    links = []
+    for k in range(12):  # components of two loosely tied cliques, some with loops and repeated edges
+        ns = [100 * k + i for i in range(12)]
+        links += [(a, b, 1.0 + (a + b) % 3) for h in (ns[:6], ns[6:]) for a in h for b in h if a < b] + [(ns[0], ns[6], 0.5), (ns[0], ns[6], 0.5), (ns[1], ns[1], 1.0)]
+    rng.shuffle(links)
+    rows = [("x", *e) for e in links] + [("y", 1, 2, 1.0), ("y", 2, 3, 1.0)]
+    got = graph.louvain(spark.createDataFrame(rows, "grp string, source long, target long, weight double"), "grp")
+    assert "_part" in got._jdf.queryExecution().analyzed().toString()
+    found = {(r.grp, r.id): r.cluster for r in got.collect()}
+    want = graph.communities(links)
+    assert found == {("x", n): c for n, c in want.items()} | {("y", n): n for n in (1, 2, 3)}
+    assert want == {100 * k + i: 100 * k + i // 6 * 6 for k in range(12) for i in range(12)}
+
+
 def test_components_of_odd_edges(spark):
     """Loops, nulls, repeated edges and strings, over tasks that share nodes, as a search finds them."""
     import random
